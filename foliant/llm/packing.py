@@ -35,7 +35,27 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-_words: dict[str, Recent] = {}
+#: Fixed value: the pre-token pattern of the word tokenizer.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_parts: dict[str, Recent] = {}
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it's printable, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def part_encoder(path: str) -> Recent:
+    """The ids of parts without white space, as bytes: pre-tokens by the pattern, each distinct one merged by the library's model alone."""
+    model, letters = tokenizer(path).model, byte_letters()
+
+    def merged(word: str) -> bytes:
+        seen = word if word.isascii() and word.isprintable() else "".join(map(letters.__getitem__, word.encode()))
+        return np.asarray([x.id for x in model.tokenize(seen)], "<u4").tobytes()
+
+    words = Recent(merged, 250_000)
+    return Recent(lambda part: b"".join(map(words.__getitem__, PRE_TOKEN.findall(part))), 250_000)
 
 
 def encode_ids(path: str, text: str | None) -> bytes:
@@ -45,9 +65,9 @@ def encode_ids(path: str, text: str | None) -> bytes:
     t = tokenizer(path)
     if "<|" in text or OTHER.search(text):
         return np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    if path not in _words:
-        _words[path] = Recent(lambda part: np.asarray(t.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
-    return b"".join(map(_words[path].__getitem__, text.lower().split()))
+    if path not in _parts:
+        _parts[path] = part_encoder(path)
+    return b"".join(map(_parts[path].__getitem__, text.lower().split()))
 
 
 def token_pieces(docs: DataFrame, path: str, max_len: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
