@@ -24,7 +24,7 @@ from foliant.llm.common import map_texts
 WORD = regex.compile(r"\p{L}+")
 ORDER = 5
 #: The training sample: at most so many documents of each language, of at most so many characters each.
-DOCS_PER_LANGUAGE, CHARS_PER_DOC = 200, 100_000
+DOCS_PER_LANGUAGE, CHARS_PER_DOC = 400, 100_000
 #: One in so many sampled documents is kept for calibration.
 CALIBRATION = 4
 #: Rejection from so many times the largest calibrated deviation on, and from so many bits a character at least. Short texts may deviate by SHORT / sqrt(characters) more.
