@@ -2,13 +2,16 @@
 
 A document is the set of hashes of its distinct word shingles; documents of equal sets are one class. A class's sketch is
 the bottom SKETCH of its hashes. The retained values make inverted lists; of a class's values, the KEYS that come first
-stay in the lists: values of short lists before those of long ones, by hash in both, so that passages which many texts
-share don't bring unlike texts together. Classes meet in lists, the sketch of their union estimates the likeness and
+stay in the lists: values of shorter lists first, then by hash, so that passages which many texts share don't bring
+unlike texts together. Sketches with more than SKETCH - KEYS common values surely meet in a list, since
+the first of these by that order is among the KEYS of both. Classes meet in lists, the sketch of their union estimates the likeness and
 drops what can't reach the threshold, and exact Jaccard of the full sets verifies.
 
-Lists of large groups are not expanded into pairs. First each list's members meet only the least one, and verified links
-are contracted to components. Then only members of different components meet: those outside the list's largest component
-with all others. Where a list has one component left, which is the rule, nothing remains.
+Lists of large groups are not expanded into pairs. First each list's members meet only its most central one, that whose
+values have the longest lists, and verified links are contracted to components. Then only members of different components
+meet, those outside the list's largest component with the others. In lists longer than LONG they don't even do that by
+sketch: the full sets of their members are ordered rarest shingle first, and two meet only where a shingle lies so early
+in both sets that the links' likeness can still be reached (prefix and place bounds, which lose no link).
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import BLANK, ascii_lower, let, shingle_hashes, stored, text_of, words_of
 
-SKETCH, KEYS = 24, 16
+SKETCH, KEYS = 24, 12
 #: A list longer than this is a long one.
 LONG = 40
 #: So many ids at most are broadcast to choose texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sketch hashes out of SKETCH of the union that must be common. At a true likeness of 0.8 a pair stays below with a probability of 1e-9.
-LEAST_COMMON = 7
+LEAST_COMMON = 8
 
 
 def shingle_set(text: Column, k: int) -> Column:
@@ -79,11 +82,14 @@ def estimate_common(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) * F.lit(SKETCH) >= F.lit(LEAST_COMMON) * F.size(union)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that the sketch estimate and then the full sets hold to be alike."""
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that the sketch estimate and then the full sets hold to be alike. Sets are made again, of the documents in likely pairs alone, from ``docs`` (id, s)."""
     of = lambda df, side, column: df.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}"))
     likely = pairs.join(of(sketches, "a", "sketch"), "a").join(of(sketches, "b", "sketch"), "b")
-    likely = likely.where(estimate_common(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+    likely = stored(likely.where(estimate_common(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "likely")
+    near = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    sets = stored(docs.join(near, "id", "left_semi").select("id", shingle_set(F.col("s"), k).alias("set")), "sets")
     exact = likely.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b")
     return exact.where(jaccard_at_least(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
 
@@ -95,6 +101,31 @@ def sketched(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].alias("id"), one.alias("x")).select("id", "x.*")
 
 
+def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists (id, n, value, ...) of more than one root, with root and the root that most members have (most)."""
+    of = stored(lists.join(roots, lists["id"] == roots["v"], "left").select(*[lists[c] for c in lists.columns], F.coalesce("root", "id").alias("root")), "rooted_lists")
+    sizes = of.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return of.join(mixed.select("value", F.col("top.root").alias("most")), "value")
+
+
+def across(lists: DataFrame, fits: Column) -> DataFrame:
+    """Distinct pairs (a, b) of members x, y of a list with different roots that ``fits``; x is none of the list's largest component."""
+    x, y = lists.where(F.col("root") != F.col("most")).alias("x"), lists.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & fits)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, value, place): of every set the shingles, rarest in ``sets`` first, among which it must meet a set as alike."""
+    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("value"))
+    often = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce(F.col("df"), F.lit(1)), "value")
+    placed = each.join(often, "value", "left").withColumn("place", F.row_number().over(order))
+    return placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull()).select("id", "n", "value", "place")
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, root) of every document: size of its shingle set and the least id that links of ``percent`` reach.
 
@@ -105,36 +136,37 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     held = stored(sketched(docs, k, doc_id, text), "sketches")
     filled = held.where("n > 0")
     classes = stored(filled.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
-    listed = classes.select(F.col("rep").alias("id"), "n", F.posexplode("sketch").alias("place", "value"))
-    # lists of one name no pair; how long a list is decides which values come first
+    listed = classes.select(F.col("rep").alias("id"), F.explode("sketch").alias("value"))
     lengths = listed.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    shared = listed.join(lengths, "value")
-    first = Window.partitionBy("id").orderBy(F.col("length") > LONG, "value")
-    rank = F.row_number().over(first)
-    keyed = stored(shared.withColumn("rank", rank).where(F.col("rank") <= KEYS).select("id", "n", "value"), "lists")
-    near = keyed.select("id").distinct()
-    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
-    texts = docs.select(docs[doc_id].alias("id"), text_of(docs, text).alias("s")).join(near, "id", "left_semi")
-    sets = stored(texts.select("id", shingle_set(F.col("s"), k).alias("set")), "sets")
-    sketches = classes.select(F.col("rep").alias("id"), "sketch").join(near, "id", "left_semi")
+    # values that no one else has come first among the KEYS, and then name no pair
+    of_class = Window.partitionBy("id")
+    length = F.coalesce(F.col("length"), F.lit(1))
+    ranked = listed.join(lengths, "value", "left").withColumn("rank", F.row_number().over(of_class.orderBy(length, "value"))).withColumn("central", F.sum(length).over(of_class))
+    chosen = ranked.where((F.col("rank") <= KEYS) & F.col("length").isNotNull())
+    sizes_of = classes.select(F.col("rep").alias("id"), "n")
+    keyed = stored(chosen.select("id", "value", "length", "central").join(sizes_of, "id"), "lists")
+    texts = docs.select(docs[doc_id].alias("id"), text_of(docs, text).alias("s"))
+    sketches = classes.select(F.col("rep").alias("id"), "sketch")
 
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    least = keyed.groupBy("value").agg(F.min(F.struct("id", "n")).alias("least"))
-    stars = keyed.join(least, "value").where((F.col("id") != F.col("least.id")) & fits(F.col("n"), F.col("least.n")))
-    stars = stars.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(stars, sketches, sets, percent), "links")
+    center = keyed.groupBy("value").agg(F.max(F.struct("central", "id", "n")).alias("center"))
+    stars = keyed.join(center, "value").where((F.col("id") != F.col("center.id")) & fits(F.col("n"), F.col("center.n")))
+    stars = stars.select(F.least("center.id", "id").alias("a"), F.greatest("center.id", "id").alias("b")).distinct()
+    links = stored(verified(stars, sketches, texts, k, percent), "links")
     roots = stored(components(links), "roots")
 
-    of = keyed.join(roots, keyed["id"] == roots["v"], "left").select("id", "n", "value", F.coalesce("root", "id").alias("root"))
-    of = stored(of, "rooted_lists")
-    sizes = of.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_lists = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rest = of.join(open_lists.select("value", F.col("most.root").alias("most")), "value")
-    x, y = rest.where(F.col("root") != F.col("most")).alias("x"), rest.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & fits(F.col("x.n"), F.col("y.n"))
-    cross = x.join(y, (F.col("x.value") == F.col("y.value")) & apart)
-    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = verified(cross.join(links, ["a", "b"], "left_anti"), sketches, sets, percent)
+    mixed = stored(rooted(keyed, roots), "mixed_lists")
+    pairs = across(mixed.where(F.col("length") <= LONG), fits(F.col("x.n"), F.col("y.n"))).join(links, ["a", "b"], "left_anti")
+    more = verified(pairs, sketches, texts, k, percent)
+
+    hard = mixed.where(F.col("length") > LONG).select("id").distinct()
+    hard = F.broadcast(hard) if hard.count() <= BROADCAST_ROWS else hard
+    sets = stored(texts.join(hard, "id", "left_semi").select("id", shingle_set(F.col("s"), k).alias("set")), "hard_sets")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    early = (F.col("x.place") <= F.col("x.n") - need + 1) & (F.col("y.place") <= F.col("y.n") - need + 1)
+    pairs = across(rooted(prefixes(sets, percent), roots), fits(F.col("x.n"), F.col("y.n")) & early)
+    more = more.union(verified(pairs.join(links, ["a", "b"], "left_anti"), sketches, texts, k, percent))
+
     contracted = roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
     final = components(contracted.union(more))
     named = classes.join(final, classes["rep"] == final["v"], "left").select("h1", "h2", F.col("n").alias("m"), F.coalesce("root", "rep").alias("root"))
