@@ -31,7 +31,7 @@ CALIBRATION = 4
 SLACK, LEAST_BITS, SHORT = 1.5, 1.25, 4.0
 #: Characters that count as evidence at most in the score.
 SCORE_CHARS = 40
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS = 120_000
 START, END = 1, 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

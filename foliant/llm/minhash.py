@@ -11,7 +11,8 @@ Lists of large groups are not expanded into pairs. First each list's members mee
 values have the longest lists, and verified links are contracted to components. Then only members of different components
 meet, those outside the list's largest component with the others. In lists longer than LONG they don't even do that by
 sketch: the full sets of their members are ordered rarest shingle first, and two meet only where a shingle lies so early
-in both sets that the links' likeness can still be reached (prefix and place bounds, which lose no link).
+in both sets, and parity bitmaps of the sets differ in so few bits, that the links' likeness can still be reached. These
+bounds on prefix, place and difference lose no link.
 """
 
 from __future__ import annotations
@@ -117,13 +118,25 @@ def across(lists: DataFrame, fits: Column) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+BITMAP_WORDS = 4
+
+
+def parity(values: Column) -> list[Column]:
+    """64 * BITMAP_WORDS bits, each the parity of how many of ``values`` fall to it. Two sets differ in at least as many elements as bits."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda h: F.call_function("shiftleft", one, F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))
+    fold = lambda j: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, h: F.when(F.pmod(h, F.lit(BITMAP_WORDS)) == j, a.bitwiseXOR(bit(h))).otherwise(a))
+    return [fold(j).alias(f"bits{j}") for j in range(BITMAP_WORDS)]
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, value, place): of every set the shingles, rarest in ``sets`` first, among which it must meet a set as alike."""
+    """(id, n, value, place, bits...): of every set the shingles, rarest in ``sets`` first, among which it must meet a set as alike."""
     each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("value"))
     often = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     order = Window.partitionBy("id").orderBy(F.coalesce(F.col("df"), F.lit(1)), "value")
     placed = each.join(often, "value", "left").withColumn("place", F.row_number().over(order))
-    return placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull()).select("id", "n", "value", "place")
+    kept = placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull())
+    return kept.select("id", "n", "value", "place").join(sets.select("id", *parity(F.col("set"))), "id")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,7 +177,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     sets = stored(texts.join(hard, "id", "left_semi").select("id", shingle_set(F.col("s"), k).alias("set")), "hard_sets")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     early = (F.col("x.place") <= F.col("x.n") - need + 1) & (F.col("y.place") <= F.col("y.n") - need + 1)
-    pairs = across(rooted(prefixes(sets, percent), roots), fits(F.col("x.n"), F.col("y.n")) & early)
+    differ = sum(F.bit_count(F.col(f"x.bits{j}").bitwiseXOR(F.col(f"y.bits{j}"))) for j in range(BITMAP_WORDS))
+    near = F.col("x.n") + F.col("y.n") - differ >= 2 * need
+    pairs = across(rooted(prefixes(sets, percent), roots), fits(F.col("x.n"), F.col("y.n")) & early & near)
     more = more.union(verified(pairs.join(links, ["a", "b"], "left_anti"), sketches, texts, k, percent))
 
     contracted = roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
