@@ -118,15 +118,17 @@ def across(lists: DataFrame, fits: Column) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-BITMAP_WORDS = 4
+BITMAP_WORDS = 16
+#: So many members of a long list's largest component, those with the fewest rare shingles, meet the others first.
+PIVOTS = 24
 
 
 def parity(values: Column) -> list[Column]:
     """64 * BITMAP_WORDS bits, each the parity of how many of ``values`` fall to it. Two sets differ in at least as many elements as bits."""
     one = F.lit(1).cast("bigint")
     bit = lambda h: F.call_function("shiftleft", one, F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int"))
-    fold = lambda j: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, h: F.when(F.pmod(h, F.lit(BITMAP_WORDS)) == j, a.bitwiseXOR(bit(h))).otherwise(a))
-    return [fold(j).alias(f"bits{j}") for j in range(BITMAP_WORDS)]
+    mixed = F.transform(values, lambda h: F.xxhash64(h))
+    return [F.transform(F.array(*map(F.lit, range(BITMAP_WORDS))), lambda j: F.aggregate(F.filter(mixed, lambda h: F.pmod(h, F.lit(BITMAP_WORDS)) == j), F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(bit(h)))).alias("bits")]
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -177,13 +179,21 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     sets = stored(texts.join(hard, "id", "left_semi").select("id", shingle_set(F.col("s"), k).alias("set")), "hard_sets")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     early = (F.col("x.place") <= F.col("x.n") - need + 1) & (F.col("y.place") <= F.col("y.n") - need + 1)
-    differ = sum(F.bit_count(F.col(f"x.bits{j}").bitwiseXOR(F.col(f"y.bits{j}"))) for j in range(BITMAP_WORDS))
+    differ = sum(F.bit_count(F.get("x.bits", F.lit(j)).bitwiseXOR(F.get("y.bits", F.lit(j)))) for j in range(BITMAP_WORDS))
     near = F.col("x.n") + F.col("y.n") - differ >= 2 * need
-    pairs = across(rooted(prefixes(sets, percent), roots), fits(F.col("x.n"), F.col("y.n")) & early & near)
-    more = more.union(verified(pairs.join(links, ["a", "b"], "left_anti"), sketches, texts, k, percent))
-
-    contracted = roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
-    final = components(contracted.union(more))
+    met = stored(prefixes(sets, percent), "prefixes")
+    near_fits = fits(F.col("x.n"), F.col("y.n")) & early & near
+    named_roots = lambda r: r.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
+    open_lists = stored(rooted(met, roots), "open_lists")
+    by_place = Window.partitionBy("value").orderBy("place", "id")
+    pivots = open_lists.where("root = most").withColumn("order", F.row_number().over(by_place)).where(F.col("order") <= PIVOTS).drop("order")
+    tested = stored(across(open_lists.where("root <> most").unionByName(pivots), near_fits).join(links, ["a", "b"], "left_anti"), "tested")
+    more = stored(more.union(verified(tested, sketches, texts, k, percent)), "more")
+    roots = stored(components(named_roots(roots).union(more)), "roots")
+    pairs = across(rooted(met, roots), near_fits).join(tested, ["a", "b"], "left_anti")
+    last = verified(pairs.join(links, ["a", "b"], "left_anti"), sketches, texts, k, percent)
+
+    final = components(named_roots(roots).union(last))
     named = classes.join(final, classes["rep"] == final["v"], "left").select("h1", "h2", F.col("n").alias("m"), F.coalesce("root", "rep").alias("root"))
     same = (filled["h1"] == named["h1"]) & (filled["h2"] == named["h2"]) & (filled["n"] == named["m"])
     return filled.join(named, same).select("id", "n", "root").union(held.where("n = 0").select("id", "n", F.col("id").alias("root")))
