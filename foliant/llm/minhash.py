@@ -120,7 +120,7 @@ def across(lists: DataFrame, fits: Column) -> DataFrame:
 
 BITMAP_WORDS = 16
 #: So many members of a long list's largest component, those with the fewest rare shingles, meet the others first.
-PIVOTS = 24
+PIVOTS = 10
 
 
 def parity(values: Column) -> list[Column]:
