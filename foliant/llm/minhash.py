@@ -110,9 +110,9 @@ def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return of.join(mixed.select("value", F.col("top.root").alias("most")), "value")
 
 
-def across(lists: DataFrame, fits: Column) -> DataFrame:
-    """Distinct pairs (a, b) of members x, y of a list with different roots that ``fits``; x is none of the list's largest component."""
-    x, y = lists.where(F.col("root") != F.col("most")).alias("x"), lists.alias("y")
+def across(lists: DataFrame, fits: Column, others: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of members x, y of a list with different roots that ``fits``; x is none of the list's largest component, y one of ``others`` (all members)."""
+    x, y = lists.where(F.col("root") != F.col("most")).alias("x"), (lists if others is None else others).alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & fits)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
@@ -121,6 +121,8 @@ def across(lists: DataFrame, fits: Column) -> DataFrame:
 BITMAP_WORDS = 16
 #: So many members of a long list's largest component, those with the fewest rare shingles, meet the others first.
 PIVOTS = 10
+#: So often the members outside a long list's largest component meet its pivots alone, and links are contracted, before all that are still apart meet.
+ROUNDS = 2
 
 
 def parity(values: Column) -> list[Column]:
@@ -184,14 +186,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     met = stored(prefixes(sets, percent), "prefixes")
     near_fits = fits(F.col("x.n"), F.col("y.n")) & early & near
     named_roots = lambda r: r.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
-    open_lists = stored(rooted(met, roots), "open_lists")
     by_place = Window.partitionBy("value").orderBy("place", "id")
-    pivots = open_lists.where("root = most").withColumn("order", F.row_number().over(by_place)).where(F.col("order") <= PIVOTS).drop("order")
-    tested = stored(across(open_lists.where("root <> most").unionByName(pivots), near_fits).join(links, ["a", "b"], "left_anti"), "tested")
-    more = stored(more.union(verified(tested, sketches, texts, k, percent)), "more")
-    roots = stored(components(named_roots(roots).union(more)), "roots")
-    pairs = across(rooted(met, roots), near_fits).join(tested, ["a", "b"], "left_anti")
-    last = verified(pairs.join(links, ["a", "b"], "left_anti"), sketches, texts, k, percent)
+    done = links.select("a", "b")
+    for _ in range(ROUNDS):
+        open_lists = stored(rooted(met, roots), "open_lists")
+        pivots = open_lists.where("root = most").withColumn("order", F.row_number().over(by_place)).where(F.col("order") <= PIVOTS).drop("order")
+        tested = stored(across(open_lists, near_fits, pivots).join(done, ["a", "b"], "left_anti"), "tested")
+        done = done.union(tested)
+        more = stored(more.union(verified(tested, sketches, texts, k, percent)), "more")
+        roots = stored(components(named_roots(roots).union(more)), "roots")
+    pairs = across(rooted(met, roots), near_fits).join(done, ["a", "b"], "left_anti")
+    last = verified(pairs, sketches, texts, k, percent)
 
     final = components(named_roots(roots).union(last))
     named = classes.join(final, classes["rep"] == final["v"], "left").select("h1", "h2", F.col("n").alias("m"), F.coalesce("root", "rep").alias("root"))
