@@ -117,3 +117,14 @@ class Recent(dict):
             self.clear()
         self[key] = value
         return value
+
+
+_held: dict = {}
+
+
+def only_held(key: object, make: Callable[[], object]) -> object:
+    """What this worker holds for ``key``, made where it's missing. What it held for another key goes first: Spark uses its workers again, and the caches of a job's stages must not add up in them."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

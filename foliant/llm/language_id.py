@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import map_texts
+from foliant.llm.common import map_texts, only_held
 
 WORD = regex.compile(r"\p{L}+")
 ORDER = 5
@@ -277,7 +277,6 @@ def held_out(doc_id):
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-_predictors: dict[str, Predictor] = {}
 
 
 def predict(docs: DataFrame, models: Models | None, keep: list[str], text: str = "text") -> DataFrame:
@@ -292,10 +291,7 @@ def predict(docs: DataFrame, models: Models | None, keep: list[str], text: str =
     def start():
         if shared.value is None:
             return lambda texts: [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [False] * len(texts)]
-        if token not in _predictors:
-            _predictors.clear()
-            _predictors[token] = Predictor(shared.value)
-        return _predictors[token]
+        return only_held(("predictor", token), lambda: Predictor(shared.value))
 
     return map_texts(docs, keep, start, FIELDS, text)
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -20,14 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from foliant.llm.common import Recent, map_texts, stored
+from foliant.llm.common import Recent, map_texts, only_held, stored
 
 #: Texts with other code points go to the library whole; for these, tests compare normalisation and splitting for every code point.
 OTHER = regex.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-įı-ž]")
 ROUNDS, ADDED, SWEEPS = 10, 400, 12
 
 
-@lru_cache(2)
 def tokenizer(path: str) -> Tokenizer:
     t = Tokenizer.from_file(path)
     t.no_truncation()
@@ -37,7 +35,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 #: Fixed value: the pre-token pattern of the word tokenizer.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_parts: dict[str, Recent] = {}
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,28 +44,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
 
-def part_encoder(path: str) -> Recent:
+def part_encoder(t: Tokenizer) -> Recent:
     """The ids of parts without white space, as bytes: pre-tokens by the pattern, each distinct one merged by the library's model alone."""
-    model, letters = tokenizer(path).model, byte_letters()
+    model, letters = t.model, byte_letters()
 
     def merged(word: str) -> bytes:
         seen = word if word.isascii() and word.isprintable() else "".join(map(letters.__getitem__, word.encode()))
         return np.asarray([x.id for x in model.tokenize(seen)], "<u4").tobytes()
 
-    words = Recent(merged, 250_000)
-    return Recent(lambda part: b"".join(map(words.__getitem__, PRE_TOKEN.findall(part))), 250_000)
+    words = Recent(merged, CACHE_WORDS)
+    return Recent(lambda part: b"".join(map(words.__getitem__, PRE_TOKEN.findall(part))), CACHE_WORDS)
 
 
 def encode_ids(path: str, text: str | None) -> bytes:
     """The little-endian 32-bit ids of a whole text as the library gives them, without special tokens of its own. No pre-token has white space in it or looks beyond itself, so the ids of a text are those of its space-separated parts in a row; each distinct part is encoded once while it's in the cache."""
     if not text:
         return b""
-    t = tokenizer(path)
+    t, parts = only_held(("parts", path), lambda: (t := tokenizer(path), part_encoder(t)))
     if "<|" in text or OTHER.search(text):
         return np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    if path not in _parts:
-        _parts[path] = part_encoder(path)
-    return b"".join(map(_parts[path].__getitem__, text.lower().split()))
+    return b"".join(map(parts.__getitem__, text.lower().split()))
 
 
 def token_pieces(docs: DataFrame, path: str, max_len: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
