@@ -35,7 +35,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 #: Fixed value: the pre-token pattern of the word tokenizer.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE_WORDS = 250_000
+CACHE_PARTS, CACHE_WORDS = 150_000, 60_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,8 +52,8 @@ def part_encoder(t: Tokenizer) -> Recent:
         seen = word if word.isascii() and word.isprintable() else "".join(map(letters.__getitem__, word.encode()))
         return np.asarray([x.id for x in model.tokenize(seen)], "<u4").tobytes()
 
-    words = Recent(merged, CACHE_WORDS)
-    return Recent(lambda part: b"".join(map(words.__getitem__, PRE_TOKEN.findall(part))), CACHE_WORDS)
+    words = Recent(merged, CACHE_WORDS)  # of parts that aren't one word
+    return Recent(lambda part: merged(part) if part.isalpha() else b"".join(map(words.__getitem__, PRE_TOKEN.findall(part))), CACHE_PARTS)
 
 
 def encode_ids(path: str, text: str | None) -> bytes:
