@@ -12,17 +12,24 @@ from foliant.llm import language_id, license_scan, minhash, packing, quality_rul
 LISTED_HOSTS = ("tionsh.example.net", "ththan.example.net", "ththon.example.com", "blog.tionble.example.com", "ththou.example.net")
 LISTED_LANGUAGES = ("en", "fr", "de", "es")
 LISTED_STEP, LISTED_END = 7, 70_000
+#: Also listed, at every scale: canonical URLs of the table itself whose MD5 begins with one of these digits (one in 8), and those of spam hosts, by a label of the host.
+LISTED_DIGITS = ("0", "1")
+SPAM_LABELS = ("casino-win", "cheap-pills", "free-bets", "adult-x", "ads-track")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def listed_urls(spark: SparkSession) -> DataFrame:
+def listed_urls(spark: SparkSession, pages: DataFrame) -> DataFrame:
     hosts, languages = F.array(*map(F.lit, LISTED_HOSTS)), F.array(*map(F.lit, LISTED_LANGUAGES))
     numbers = spark.range(0, LISTED_END, LISTED_STEP)
     rows = numbers.select("id", F.explode(hosts).alias("h")).select("id", "h", F.explode(languages).alias("l"))
-    return rows.select(F.concat("h", F.lit("/"), "l", F.lit("/"), F.col("id").cast("string")).alias("url"))
+    fixed = rows.select(F.concat("h", F.lit("/"), "l", F.lit("/"), F.col("id").cast("string")).alias("url"))
+    host = url_filter.host_of(F.col("url"))
+    keyed = pages.select(host.alias("host"), url_filter.canonical(host, url_filter.path_of(F.col("url"))).alias("url"))
+    spam = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, SPAM_LABELS)))
+    return fixed.unionByName(keyed.where(F.left(F.md5("url"), F.lit(1)).isin(*LISTED_DIGITS) | spam).select("url"))
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -34,7 +41,8 @@ def op2_spot_fingerprints(spark, sf_dir):
 
 
 def op3_url_filter(spark, sf_dir):
-    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed_urls(spark))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, listed_urls(spark, pages))
 
 
 def op4_language_id(spark, sf_dir):
