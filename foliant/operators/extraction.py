@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The entity lists of a response with node label and edge type, and the words that mark errors, in order of priority.
@@ -70,8 +70,9 @@ def error_kind(message: Column) -> Column:
 
 def dedupe_values(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, value): of equal values but for case, the first."""
-    w = Window.partitionBy(*keys, F.lower(F.trim("value"))).orderBy("pos")
-    return rows.where(F.trim("value") != "").withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*keys, "pos", F.trim("value").alias("value"))
+    named = rows.select(*keys, "pos", F.trim("value").alias("value")).where("value <> ''")
+    # aggregated before the shuffle, so that a repeated value of a text is sent once
+    return named.groupBy(*keys, F.lower("value").alias("__low")).agg(F.min(F.struct("pos", "value")).alias("v")).select(*keys, "v.pos", "v.value")
 
 
 def nodes(values: DataFrame, label: str, name: str = "value", seq: str = "seq", props: tuple[str, ...] = ()) -> DataFrame:

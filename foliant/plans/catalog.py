@@ -169,7 +169,7 @@ def text_preview(spark, sf):
 
 
 def _values(spark, sf):
-    return _docs(spark, sf).select("doc_id", "source", F.posexplode(F.split("text", " ")).alias("pos", "value")).where("pos < 40")
+    return _docs(spark, sf).select("doc_id", "source", F.posexplode(F.split("text", " ")).alias("pos", "value"))
 
 
 def entity_dedupe(spark, sf):
@@ -177,7 +177,7 @@ def entity_dedupe(spark, sf):
 
 
 def graph_nodes(spark, sf):
-    v = entity_dedupe(spark, sf).withColumn("seq", F.col("doc_id") * 1000 + F.col("pos"))
+    v = entity_dedupe(spark, sf).withColumn("seq", F.struct("doc_id", "pos"))
     return E.nodes(v, "KhaiNiemV2", props=("doc_id",))
 
 
@@ -224,7 +224,7 @@ def hybrid_retrieve(spark, sf):
 
 def graph_expand(spark, sf):
     hits = vector_topk(spark, sf).join(_docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id")
-    concepts = entity_dedupe(spark, sf).where("pos < 6").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("concepts"))
+    concepts = entity_dedupe(spark, sf).groupBy(F.col("doc_id").alias("chunk_id")).agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("concepts"))
     return hits.join(concepts, "chunk_id", "left").select("query_id", "chunk_id", "source", "score", "concepts")
 
 
