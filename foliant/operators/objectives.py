@@ -43,6 +43,9 @@ def extract(text: Column) -> Column:
 
 
 def unique(values: Column) -> Column:
-    """First of each match key, in order."""
-    keys = lambda v: F.transform(v, X.match_key)
-    return F.filter(values, lambda v, i: F.array_position(keys(values), X.match_key(v)) == i + 1)
+    """First of each match key, in order. Sorted by key and place, so that only neighbours are compared."""
+    keyed = F.sort_array(F.transform(values, lambda v, i: F.struct(X.match_key(v).alias("key"), i.alias("at"), v.alias("value"))))
+    first = lambda rows: F.filter(rows, lambda x, i: x["key"].isNotNull() & ((i == 0) | ~F.get(rows, i - 1)["key"].eqNullSafe(x["key"])))
+    in_order = lambda rows: F.transform(F.sort_array(F.transform(rows, lambda x: F.struct(x["at"], x["value"]))), lambda x: x["value"])
+    # bound to a lambda variable, the sorted rows are made once and not once an element
+    return F.get(F.transform(F.array(keyed), lambda rows: in_order(first(rows))), F.lit(0))

@@ -101,8 +101,7 @@ def objective_extract(spark, sf):
 
 
 def objective_dedupe(spark, sf):
-    words = F.slice(F.split("text", " "), 1, 60)
-    return _docs(spark, sf).select("doc_id", F.array_join(O.unique(words), " ").alias("kept"))
+    return _docs(spark, sf).select("doc_id", F.array_join(O.unique(F.split("text", " ")), " ").alias("kept"))
 
 
 def lesson_merge(spark, sf):

@@ -1,9 +1,13 @@
 """Queries over whole texts, against brute force."""
 
+import re
+import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliant.operators import objectives as O
 from foliant.plans.catalog import CATALOG
 
 
@@ -44,3 +48,24 @@ def test_graph_of_whole_texts(spark, sf_dir, kept):
 def test_expansion_has_all_concepts(spark, sf_dir, kept):
     rows = CATALOG["graph_expand"](spark, sf_dir).collect()
     assert rows and all((r.concepts or "") == ",".join(sorted(set(kept[r.chunk_id].values()))) for r in rows)
+
+
+def match_key(s):
+    s = "".join(c for c in unicodedata.normalize("NFD", s.replace("Đ", "D").replace("đ", "d")) if unicodedata.category(c) != "Mn")
+    return re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ")
+
+
+def test_objectives_of_whole_texts(spark, sf_dir, texts):
+    got = {r.doc_id: r.kept for r in CATALOG["objective_dedupe"](spark, sf_dir).collect()}
+    for i, s in texts.items():
+        first = {}
+        for w in s.split(" "):
+            first.setdefault(match_key(w), w)
+        assert got[i] == " ".join(first.values()), i
+    assert any(match_key(w) not in map(match_key, s.split(" ")[:60]) for s in texts.values() for w in s.split(" ")[60:])
+
+
+def test_unique_of_nulls_and_a_long_list(spark):
+    lists = [None, [], [None, "B", "b", "A", None], [f"w{i % 20000}" for i in range(60_000)]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, v array<string>").select("i", O.unique(F.col("v")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {0: None, 1: [], 2: ["B", "A"], 3: [f"w{i}" for i in range(20000)]}
