@@ -11,6 +11,9 @@ MARKER = r"(?i)<!--\s*OCR_PAGE:\s*(\d+)\s*-->"
 OUTSIDE = "Ngoai_TOC"
 FIRST_SECTION = "Phần Mở Đầu"
 CHUNK_CHARS = 3500
+#: Fixed value: line ends of the reference's splitlines(). RUN: numbers of an order that one task sums.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+RUN = 65_536
 
 
 def toc_table(spark: SparkSession, lessons: int = 44, first: int = 7, last: int = 197) -> DataFrame:
@@ -89,14 +92,56 @@ def pack_lines(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 
-def chunks(blocks: DataFrame, keys: list[str], book: str, lesson: str, title: str, limit: int = CHUNK_CHARS) -> DataFrame:
-    """Blocks in pieces, numbered in each lesson; each piece has the pages of its whole block."""
-    pieces = blocks.select(*dict.fromkeys([*keys, title]), "block", "section", "pages", F.posexplode(pack_lines(F.col("text"), limit)).alias("piece", "raw"))
-    pieces = pieces.withColumn("body", X.strip_space(F.col("raw"))).where(F.col("body") != "")
-    pieces = pieces.withColumn("chunk_index", F.row_number().over(Window.partitionBy(*keys).orderBy("block", "piece")))
+def before(units: DataFrame, keys: list[str], order: str, count: str, name: str) -> DataFrame:
+    """Adds the sum of ``count`` over the units of equal ``keys`` that come before by ``order``, a whole number: summed within
+    runs of RUN numbers, then over the runs, so that no task has to see all units of a key."""
+    runs = units.withColumn("__run", F.floor(F.col(order) / RUN))
+    within = F.sum(count).over(Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = runs.groupBy(*keys, "__run").agg(F.sum(count).alias("__n"))
+    base = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__run").alias("__r"), F.coalesce(base, F.lit(0)).alias("__base"))
+    same = F.col("__run") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = runs.withColumn("__within", F.coalesce(within, F.lit(0))).join(totals, same)
+    return out.select(*units.columns, (F.col("__base") + F.col("__within")).alias(name))
+
+
+def lesson_blocks(pages: DataFrame, keys: list[str], order: str, title: str) -> DataFrame:
+    """Blocks of each lesson, across its pages: a heading begins one and is its first line. ``pages`` has order, page_number, text.
+
+    Lines are stripped and blank ones go; a blank one follows each page. Pages are those that give the block a line.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), LINE_END), X.strip_space), lambda x: x != "")
+    marked = F.transform(F.concat(lines, F.array(F.lit(""))), lambda x: F.struct(x.alias("line"), X.is_heading(x).alias("heading")))
+    kept = pages.select(*keys, order, title, "page_number", marked.alias("lines"))
+    kept = before(kept.withColumn("__headings", F.size(F.filter("lines", lambda x: x["heading"]))), keys, order, "__headings", "__first")
+    rows = kept.select(*keys, order, title, "page_number", "__first", F.posexplode("lines").alias("pos", "l"))
+    own = F.sum(F.col("l.heading").cast("int")).over(Window.partitionBy(*keys, order).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("block", F.col("__first") + own)
+    lined = F.array_sort(F.collect_list(F.struct(order, "pos", "l.line", "l.heading")))
+    blocks = rows.groupBy(*keys, "block").agg(lined.alias("rows"), F.first(title).alias(title), F.array_sort(F.collect_set(F.when(F.col("l.line") != "", F.col("page_number")))).alias("pages"))
+    head = F.get("rows", F.lit(0))
+    text = X.strip_space(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    blocks = blocks.select(*keys, title, "block", F.when(head["heading"], X.clean_title(head["line"])).otherwise(F.col(title)).alias("section"), text.alias("text"), "pages", head[order].alias("first"))
+    return blocks.where("text <> ''")
+
+
+def chunks(blocks: DataFrame, book: str, lesson: str, title: str, limit: int = CHUNK_CHARS) -> DataFrame:
+    """Blocks in pieces, numbered in each lesson and through the book's lessons by their first page; each piece has the pages of its whole block."""
+    keys = [book, lesson]
+    bodies = F.filter(F.transform(pack_lines(F.col("text"), limit), X.strip_space), lambda x: x != "")
+    blocks = blocks.withColumn("bodies", bodies).withColumn("__n", F.size("bodies"))
+    numbered = before(blocks, keys, "block", "__n", "__before")
+    lessons = blocks.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.min("first").alias("__first"))
+    earlier = F.sum("__n").over(Window.partitionBy(book).orderBy("__first", lesson).rowsBetween(Window.unboundedPreceding, -1))
+    lessons = lessons.select(F.col(book).alias("__book"), F.col(lesson).alias("__lesson"), F.coalesce(earlier, F.lit(0)).alias("__lessons"))
+    rows = numbered.join(lessons, F.col(book).eqNullSafe(F.col("__book")) & F.col(lesson).eqNullSafe(F.col("__lesson")))
+    pieces = rows.select(*keys, title, "section", "pages", "__before", "__lessons", F.posexplode("bodies").alias("piece", "body"))
+    pieces = pieces.withColumn("chunk_index", F.col("__before") + F.col("piece") + 1)
     label = X.pages_label(F.col("pages"))
     content = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col(title)), F.when(F.col("section") != F.col(title), F.concat(F.lit("## "), F.col("section"))), F.concat(F.lit("<!-- source_pages: "), label, F.lit(" -->")), F.col("body"))
-    return pieces.select(*keys, X.chunk_uid(F.col(book), F.col(lesson), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "section", label.alias("source_pages"), content.alias("markdown_content"))
+    return pieces.select(*keys, X.chunk_uid(F.col(book), F.col(lesson), F.col("chunk_index")).alias("chunk_id"), "chunk_index", (F.col("__lessons") + F.col("chunk_index")).alias("global_chunk_index"), "section", label.alias("source_pages"), content.alias("markdown_content"))
 
 
 def heading_chunks(books: DataFrame, key: str, text: str) -> DataFrame:

@@ -85,9 +85,8 @@ def greedy_pack(spark, sf):
 
 def toc_chunks(spark, sf):
     pages = B.lessons_of_pages(_docs(spark, sf).select("doc_id", "source", "text", (F.col("doc_id") % 210).cast("int").alias("page_number")), B.toc_table(spark))
-    lines = pages.select("source", "lesson_id", F.col("lesson_title").alias("title"), "page_number", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("ord", F.struct("doc_id", "pos"))
-    return B.chunks(B.section_blocks(lines, ["source", "lesson_id", "doc_id"], "title").withColumn("title", F.col("lesson_id")), ["source", "lesson_id", "doc_id"], "source", "lesson_id", "title", CHARS).select("source", "lesson_id", "doc_id", "chunk_id", "chunk_index", "section", "source_pages", F.md5("markdown_content").alias("hash"))
+    blocks = B.lesson_blocks(pages, ["source", "lesson_id"], "doc_id", "lesson_title")
+    return B.chunks(blocks, "source", "lesson_id", "lesson_title", CHARS).select("source", "lesson_id", "chunk_id", "chunk_index", "global_chunk_index", "section", "source_pages", F.md5("markdown_content").alias("hash"))
 
 
 def legacy_chunks(spark, sf):
