@@ -2,8 +2,9 @@
 
 All windows of K words of every text are hashed and joined to the places of the same windows in license templates. A hit
 at word w of the text and word p of a template lies on diagonal w - p; hits are counted by document, template and
-diagonal, neighbouring diagonals merged (an inserted or lost word moves what follows to the next one), and a span counts
-when enough of the template's words are found in it in order.
+diagonal, neighbouring diagonals merged (an inserted or lost word moves what follows to the next one). A merged span is
+then verified: of its hits the longest chain that goes forward in both the text and the template is its alignment, and it
+counts when the chain has enough of the template's windows, those of the words that tell templates apart among them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ K = 3
 NEAR = 2
 #: Share of a template's windows, and fewest windows, that an alignment must hit.
 SHARE, LEAST = 0.6, 2
+#: Words that tell templates apart, besides the first number of a version.
+TELLING = ("sa", "nc")
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the contract.
@@ -45,11 +48,30 @@ TEMPLATES = [
 
 
 def template_windows(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(h, t0, t1, t2, template, place, n_windows, label): every window of every template; no more rows than the templates have words."""
-    rows = [(i, label, text.split()) for i, (label, text) in enumerate(templates)]
-    t = spark.createDataFrame(rows, "template int, label string, words array<string>")
-    w = t.select("template", "label", (F.size("words") - K + 1).alias("n_windows"), F.posexplode(windows(F.col("words"))).alias("place", "w"))
-    return w.select("w.h", *[F.col(f"w.w{j}").alias(f"t{j}") for j in range(K)], "template", "place", "n_windows", "label")
+    """(h, t0, t1, t2, template, place, n_windows, label, telling): every window of every template; no more rows than the templates have words."""
+    rows = [(i, label, text.split(), telling(text.split())) for i, (label, text) in enumerate(templates)]
+    t = spark.createDataFrame(rows, "template int, label string, words array<string>, telling array<int>")
+    w = t.select("template", "label", "telling", (F.size("words") - K + 1).alias("n_windows"), F.posexplode(windows(F.col("words"))).alias("place", "w"))
+    return w.select("w.h", *[F.col(f"w.w{j}").alias(f"t{j}") for j in range(K)], "template", "place", "n_windows", "label", "telling")
+
+
+def telling(words: list[str]) -> list[int]:
+    """Places of the words by which a template differs from its like."""
+    return [i for i, w in enumerate(words) if w in TELLING or (w.isdigit() and not (i and words[i - 1].isdigit()))]
+
+
+def chain(hits: Column, n_windows: Column) -> Column:
+    """The longest run of hits (word, place) that goes forward in both. One step a hit, over the template's places."""
+    none = F.array().cast("array<struct<word:int,place:int>>")
+    longest = lambda ends: F.coalesce(F.array_max(F.transform(ends, lambda c: F.struct(F.size(c).alias("n"), c.alias("c"))))["c"], none)
+
+    def step(ends, hit):
+        grown = F.concat(longest(F.slice(ends, F.lit(1), hit["place"])), F.array(hit))
+        return F.transform(ends, lambda c, i: F.when((i == hit["place"]) & (F.size(grown) > F.size(c)), grown).otherwise(c))
+
+    # of hits at one word the later place comes first, so that none follows another
+    by_word = F.transform(F.sort_array(F.transform(hits, lambda x: F.struct(x["word"].alias("word"), (-x["place"]).alias("back")))), lambda x: F.struct(x["word"].alias("word"), (-x["back"]).alias("place")))
+    return F.aggregate(by_word, F.array_repeat(none, n_windows), step, longest)
 
 
 def windows(words: Column) -> Column:
@@ -85,16 +107,21 @@ def vote(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     flat = keyed.select("doc_id", "text_hash", "word", F.col("w.h").alias("wh"), *[F.col(f"w.w{j}") for j in range(K)])
     t = F.broadcast(template_windows(docs.sparkSession, templates))
     same = (flat["wh"] == t["h"]) & _all(flat[f"w{j}"] == t[f"t{j}"] for j in range(K))
-    hits = flat.join(t, same).select("doc_id", "text_hash", "template", "label", "n_windows", "place", "word", (F.col("word") - F.col("place")).alias("diagonal"))
-    of = ["doc_id", "text_hash", "template", "label", "n_windows"]
+    hits = flat.join(t, same).select("doc_id", "text_hash", "template", "label", "n_windows", "telling", "place", "word", (F.col("word") - F.col("place")).alias("diagonal"))
+    of = ["doc_id", "text_hash", "template", "label", "n_windows", "telling"]
     # equal rows give equal hits, which count once
-    votes = hits.groupBy(*of, "diagonal").agg(F.collect_set("place").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"))
+    votes = hits.groupBy(*of, "diagonal").agg(F.collect_set(F.struct("word", "place")).alias("hits"))
     order = Window.partitionBy(*of).orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int"), F.lit(1))
     merged = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    spans = merged.groupBy(*of, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"))
+    spans = merged.groupBy(*of, "run").agg(F.count(F.lit(1)).alias("diagonals"), F.flatten(F.collect_list("hits")).alias("hits"))
+    # too few hits need no chain, and those of one diagonal are one
+    spans = spans.where(F.size("hits") >= F.least(F.lit(LEAST), F.col("n_windows")))
+    spans = spans.withColumn("hits", F.when(F.col("diagonals") == 1, F.sort_array("hits")).otherwise(chain(F.col("hits"), F.col("n_windows"))))
+    spans = spans.select("*", F.size("hits").alias("n"), F.get("hits", F.lit(0))["word"].alias("first"), (F.element_at("hits", -1)["word"] + K - 1).alias("last"))
+    told = F.forall("telling", lambda t: F.exists("hits", lambda x: t.between(x["place"], x["place"] + K - 1)))
     share = F.least(F.col("n") / F.col("n_windows"), F.lit(1.0))
-    enough = (F.col("n") >= F.least(F.lit(LEAST), F.col("n_windows"))) & (share >= SHARE)
+    enough = (F.col("n") >= F.least(F.lit(LEAST), F.col("n_windows"))) & (share >= SHARE) & told
     return spans.where(enough).select("doc_id", "text_hash", "label", F.round(share, 6).alias("score"), "first", "last")
 
 
