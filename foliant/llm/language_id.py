@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import map_texts, only_held
+from foliant.llm.common import hinted, map_texts, only_held, stored
 
 WORD = regex.compile(r"\p{L}+")
 ORDER = 5
@@ -27,8 +27,10 @@ ORDER = 5
 DOCS_PER_LANGUAGE, CHARS_PER_DOC = 400, 100_000
 #: One in so many sampled documents is kept for calibration.
 CALIBRATION = 4
-#: Rejection from so many times the largest calibrated deviation on, and from so many bits a character at least. Short texts may deviate by SHORT / sqrt(characters) more.
-SLACK, LEAST_BITS, SHORT = 1.5, 1.25, 4.0
+#: Rejection from so many times this quantile of the calibrated deviations on, and from so many bits a character at least. Short texts may deviate by SHORT / sqrt(characters) more.
+QUANTILE, SLACK, LEAST_BITS, SHORT = 0.98, 1.5, 1.25, 4.0
+#: Candidates of the sample are cut to so many times its size by their hash before they meet in one task a language.
+MARGIN = 2
 #: Characters that count as evidence at most in the score.
 SCORE_CHARS = 40
 CACHE_WORDS = 120_000
@@ -169,7 +171,7 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Models:
         if seen:
             entropy, n = np.asarray(seen).T
             mean[at] = np.average(entropy, weights=n)
-            bound[at] = max(LEAST_BITS, SLACK * np.max(entropy - mean[at] - SHORT / np.sqrt(n)))
+            bound[at] = max(LEAST_BITS, SLACK * np.quantile(entropy - mean[at] - SHORT / np.sqrt(n), QUANTILE))
         else:
             mean[at], bound[at] = 0, np.inf
     models.mean, models.bound = mean, bound
@@ -256,18 +258,26 @@ class Predictor:
         return out
 
 
-def learn(docs: DataFrame, order: int = ORDER) -> Models | None:
-    """Models from a bounded sample of the documents whose crc32(doc_id) mod 3 isn't 1: of each language the
-    DOCS_PER_LANGUAGE whole texts of least hash, of at most CHARS_PER_DOC characters each. None without such documents.
+def learn(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Models | None:
+    """Models from a bounded sample of the documents whose crc32(doc_id) mod 3 isn't 1, null ids among them: of each
+    language the DOCS_PER_LANGUAGE whole texts of least hash of id and text, of at most CHARS_PER_DOC characters each.
+    None without such documents.
+
+    Of each language about MARGIN times the sample, by a bound on the hash that its number of documents gives, meet in
+    one task; the driver gets the sample alone.
     """
-    usable = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")) & (F.char_length("text") <= CHARS_PER_DOC)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(usable).select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= DOCS_PER_LANGUAGE)
-    rows = docs.where(usable).select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    usable = F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(doc_id)) & (F.char_length(text) <= CHARS_PER_DOC)
+    place = F.xxhash64(doc_id, text)
+    pool = docs.where(usable).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    # shares of the hashes' range; a language whose documents are fewer than the margin gives all of them
+    share = F.least(F.lit(1.0), F.lit(MARGIN * DOCS_PER_LANGUAGE) / F.count(F.lit(1)))
+    limits = pool.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("limit"))
+    near = pool.join(hinted(stored(limits, "language_limits")), "lang").where(F.col("place").cast("double") <= F.col("limit"))
+    order_of = Window.partitionBy("lang").orderBy("place", "text")
+    rows = near.withColumn("rank", F.row_number().over(order_of)).where(F.col("rank") <= DOCS_PER_LANGUAGE).select("lang", "place", "text")
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"])):
-        if len(samples.setdefault(r["lang"], [])) < DOCS_PER_LANGUAGE:
-            samples[r["lang"]].append(r["text"])
+    for r in sorted(rows.collect(), key=lambda r: (r["place"], r["text"])):
+        samples.setdefault(r["lang"], []).append(r["text"])
     return train(samples, order) if samples else None
 
 
@@ -302,6 +312,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected and have a language, all their columns as they are."""
-    out = predict(docs, learn(docs), docs.columns)
-    return out.where((F.col("lang_pred") != "und") & ~F.col("rejected")).select(*docs.columns)
+    """The documents that aren't rejected and have a language, all their columns as they are.
+
+    Null texts and texts without a letter go. Columns of any other name, clashing ones included, pass through; equal rows
+    stay as many rows; an empty table gives none.
+    """
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*columns)
+    doc_id, text, lang = (columns[docs.columns.index(c)] for c in ("doc_id", "text", "lang"))
+    out = predict(rows, learn(rows, ORDER, doc_id, text, lang), columns, text)
+    return out.where((F.col("lang_pred") != "und") & ~F.col("rejected")).select(*columns).toDF(*docs.columns)
