@@ -1,17 +1,18 @@
 """Encoding and decoding with the pieces of a SentencePiece model.
 
 An Aho-Corasick automaton over the pieces runs once over a word and gives, by its output links, all pieces that end at
-each character. Each is relaxed against the best segmentation of what lies before it. The models at hand are of the BPE
-type, whose result isn't the segmentation of greatest summed score but the one that merges leave. So the relaxation
-takes a piece only if it and the last piece before it are what merging makes of their two strings together; a sequence
-in which that holds for all neighbours is the merged one, and one piece at most passes at each position.
+each character; each relaxes the best score of the place where it ends. In a unigram model that is all. The result of a
+model of BPE type isn't the segmentation of greatest summed score but the one that merges leave: there a piece relaxes a
+place only if it and the last piece before it are what merging makes of their two strings together. A sequence in which
+that holds for all neighbours is the merged one.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -19,17 +20,53 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from foliant.llm.common import Recent, map_texts
+from foliant.llm.common import Recent, map_texts, only_held
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: A model file's types, and by how much an unknown character scores less than the worst piece.
+UNIGRAM, BPE, UNKNOWN_LOSS = 1, 2, 10.0
+
+
+def fields(message: bytes) -> Iterator[tuple[int, object]]:
+    """(number, value) of the fields of a message in protocol buffers' wire format: whole numbers, or bytes."""
+
+    def number(at):
+        out = shift = 0
+        while True:
+            out |= (message[at] & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 0x80:
+                return out, at
+
+    at = 0
+    while at < len(message):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = message[at : at + size], at + size
+        yield tag >> 3, value
 
 
 class Pieces:
-    """The pieces of a model: automaton, merging and byte fallback."""
+    """The pieces of a model: automaton, merging and byte fallback.
+
+    Models of unigram and BPE type whose texts aren't normalised and keep all white space; others raise ValueError.
+    """
 
     def __init__(self, path: str):
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            proto = f.read()
+        parts = dict(fields(proto))  # of the pieces, many of one number, the last alone
+        trainer, normalizer = dict(fields(parts.get(2, b""))), dict(fields(parts.get(3, b"")))
+        self.kind = trainer.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError(f"neither a unigram nor a BPE model: {path}")
+        if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1):
+            raise ValueError(f"the model normalises its texts: {path}")
+        m = sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = m.get_piece_size()
         self.piece = [m.id_to_piece(i) for i in range(n)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if m.is_byte(i)}
@@ -38,80 +75,107 @@ class Pieces:
         self.silent = {i for i in range(n) if m.is_control(i)}
         self.id = {p: i for i, p in enumerate(self.piece) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         self.score = {p: m.get_score(i) for p, i in self.id.items()}
+        self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_LOSS
+        #: Whether a space stands at the start of pieces alone, so that words are encoded by themselves.
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self.automaton.add_word(p, (i, len(p)))
+            self.automaton.add_word(p, (i, len(p), self.score[p]))
         self.automaton.make_automaton()
         self.together = Recent(self._together)
         self.unit = Recent(self._unit_bytes)
 
     def merged(self, s: str) -> list[str]:
-        """Merging by its definition: the neighbours whose joint piece scores best, the leftmost of equals, until none are left."""
-        parts = list(s)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Merging by its definition: the neighbours whose joint piece scores best, the leftmost of equals, until none are left. Each merge makes two new neighbours, so a heap does it in n log n."""
+        parts: list[str] = list(s)
+        left, right = list(range(-1, len(s) - 1)), [*range(1, len(s)), -1]
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i):
+            if i >= 0 and right[i] >= 0:
+                joint = parts[i] + parts[right[i]]
+                if joint in self.score:
+                    heapq.heappush(heap, (-self.score[joint], i, joint))
+
+        for i in range(len(s) - 1):
+            offer(i)
+        while heap:
+            _, i, joint = heapq.heappop(heap)
+            if not parts[i] or right[i] < 0 or parts[i] + parts[right[i]] != joint:
+                continue  # one of the two has merged otherwise
+            gone = right[i]
+            parts[i], parts[gone], right[i] = joint, "", right[gone]
+            if right[i] >= 0:
+                left[right[i]] = i
+            offer(left[i])
+            offer(i)
+        return [p for p in parts if p]
 
     def _together(self, key: str) -> bool:
         a, b = key.split("\n")
         return self.merged(self.piece[int(a)] + self.piece[int(b)]) == [self.piece[int(a)], self.piece[int(b)]]
 
+    def fits(self, last: int, i: int) -> bool:
+        """Whether piece ``i`` may follow ``last`` (negative: no piece)."""
+        return self.kind == UNIGRAM or last < 0 or self.together[f"{last}\n{i}"]
+
     def segment(self, s: str) -> list[int]:
-        """Ids of a unit: a word with at most one mark of a space, at its start."""
+        """Ids of a unit: the best path of pieces over it."""
         n = len(s)
-        back: list[tuple[int, int] | None] = [None] * (n + 1)  # of each end: last piece's id (-1: a character without piece) and length
-        back[0] = (-2, 0)
-        done = 0
-        for end, (i, size) in self.automaton.iter(s):
-            end += 1
-            while done < end - 1:  # characters that no piece ends at
+        best = [float("-inf")] * (n + 1)
+        back = [(-2, 0)] * (n + 1)  # of each end: last piece's id (-1: a character without piece) and length
+        best[0] = 0.0
+
+        def unknown_up_to(end):
+            """Characters without a piece of their own count as unknown."""
+            nonlocal done
+            while done < end:
                 done += 1
-                if back[done] is None and s[done - 1] not in self.id and back[done - 1]:
-                    back[done] = (-1, 1)
-            before = back[end - size]
-            if back[end] is None and before and (before[0] < 0 or self.together[f"{before[0]}\n{i}"]):
-                back[end] = (i, size)
-        while done < n:
-            done += 1
-            if back[done] is None and s[done - 1] not in self.id and back[done - 1]:
-                back[done] = (-1, 1)
+                score = best[done - 1] + self.unknown_score
+                if s[done - 1] not in self.id and score > best[done]:
+                    best[done], back[done] = score, (-1, 1)
+
+        done = 0
+        for end, (i, size, own) in self.automaton.iter(s):
+            unknown_up_to(end)
+            score = best[end + 1 - size] + own
+            if score > best[end + 1] and self.fits(back[end + 1 - size][0], i):
+                best[end + 1], back[end + 1] = score, (i, size)
+        unknown_up_to(n)
+        if best[n] == float("-inf"):  # equal scores can leave a BPE unit without a path of pairs
+            return self.ids_of(self.merged(s))
         out: list[int] = []
         end = n
         while end:
-            if back[end] is None:
-                raise ValueError(f"no segmentation of {s!r}")
             i, size = back[end]
             if i >= 0:
                 out.append(i)
-            else:
+            elif self.byte or not out or out[-1] != self.unknown or self.kind == BPE:
                 out.extend(self.fallback(s[end - 1])[::-1])
             end -= size
         return out[::-1]
 
+    def ids_of(self, parts: list[str]) -> list[int]:
+        return [i for p in parts for i in ([self.id[p]] if p in self.id else self.fallback(p))]
+
     def fallback(self, c: str) -> list[int]:
         return [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
 
     def unit_ids(self, s: str) -> list[int]:
-        if s.startswith(SPACE * 2):
-            # pieces of spaces alone share one score; of such runs there are few, merged by definition
-            return [i for p in self.merged(s) for i in ([self.id[p]] if p in self.id else self.fallback(p))]
+        if self.kind == BPE and s.startswith(SPACE * 2):
+            # pieces of spaces alone share one score, so that pairs don't tell; such runs are merged by definition
+            return self.ids_of(self.merged(s))
         return self.segment(s)
 
     def _unit_bytes(self, s: str) -> bytes:
         return np.asarray(self.unit_ids(s), "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids of a whole text. Pieces have the mark of a space at their start alone, so what stands between spaces is encoded by itself."""
+        """Little-endian 32-bit ids of a whole text. Where pieces have the mark of a space at their start alone, what stands between spaces is encoded by itself."""
         if not text:
             return b""
         s = SPACE + text.replace(" ", SPACE)
-        return b"".join(map(self.unit.__getitem__, UNITS.findall(s)))
+        return b"".join(map(self.unit.__getitem__, UNITS.findall(s))) if self.apart else self._unit_bytes(s)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
@@ -132,9 +196,8 @@ class Pieces:
         return (s[1:] if s.startswith(SPACE) else s).replace(SPACE, " ")
 
 
-@lru_cache(2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return only_held(("pieces", path), lambda: Pieces(path))
 
 
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = False) -> DataFrame:
