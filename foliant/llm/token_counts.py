@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from foliant.llm.common import Recent, map_texts
+from foliant.llm.common import Recent, map_texts, only_held
 
 #: Fixed value: the pattern of byte-level BPE pre-tokens, as the tokenizer's own pre-tokenizer has it.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -51,7 +51,11 @@ class Counter:
 
     def __init__(self, path: str, whole: frozenset[str]):
         self.t = tokenizer(path)
-        self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
+        added = list(self.t.get_added_tokens_decoder().values())
+        self.special = [a.content for a in added]
+        #: Plain special strings are found by themselves, of two at one place the longer; those that take white space or word ends with them are left to the library.
+        self.simple = not any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added)
+        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.whole = dict.fromkeys(whole, 1)
         self.of_chunk = Recent(self.spaced)
 
@@ -78,16 +82,13 @@ class Counter:
         if not text:
             return 0
         if any(s in text for s in self.special):
-            if len(self.special) > 1:
+            if not self.simple:
                 return len(self.t.encode(text, add_special_tokens=False).ids)
-            parts = text.split(self.special[0])
+            parts = self.split.split(text)
             return len(parts) - 1 + sum(map(self.plain, parts))
         return self.plain(text)
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", limit: int = 1024) -> DataFrame:
     """``keep``, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) of every whole text.
 
@@ -97,9 +98,7 @@ def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
 
     def start():
-        if path not in _counters:
-            _counters[path] = Counter(path, whole.value)
-        count = _counters[path].count
+        count = only_held(("counter", path), lambda: Counter(path, whole.value)).count
         return lambda texts: [[len(t.encode()) if t else 0 for t in texts], [count(t) for t in texts]]
 
     out = map_texts(docs, list(keep), start, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())], text)
