@@ -2,6 +2,8 @@
 
 The filter is a table of 64-bit blocks, one row each: a URL's hash names its block and a few bits in it. A URL whose bits
 aren't all set is not listed; only the others go to the exact hash join with the list, which removes the false positives.
+Pages that a rule decides ask neither. Where the list is too long to be broadcast, each distinct URL asks once, so that
+many pages of one URL don't meet in a task.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ascii_lower
+from foliant.llm.common import ascii_lower, joined, stored
 
 BITS = 5  # of each URL in its block
 PER_BLOCK = 4  # listed URLs a block on average
@@ -61,7 +63,15 @@ def bloom(listed: DataFrame, n: int) -> tuple[DataFrame, int]:
     return listed.groupBy(_block(F.col("url"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("url"))).alias("mask")), blocks
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def listed_of(asked: DataFrame, listed: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``asked`` (url, ...) whose URL is listed: those that pass the filter, then those that the exact join finds."""
+    probed = asked.join(table, _block(asked["url"], blocks) == table["block"])
+    need = _mask(F.col("url"))
+    maybe = probed.where(F.col("mask").bitwiseAND(need) == need).drop("block", "mask")
+    return maybe.join(listed, "url", "left_semi")
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every page.
 
     ``listed`` has canonical URLs in its column url; null and repeated ones don't matter. A page without a rule is blocked
@@ -70,20 +80,26 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """
     listed = listed.select(F.col("url").cast("string").alias("url")).where("url <> ''").distinct()
     n = listed.count()
-    small = n <= BROADCAST_ROWS
     table, blocks = bloom(listed, n)
-    hint = F.broadcast if small else (lambda df: df)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("*", name.alias("rule"), verdict.alias("by_rule"), canonical(F.col("host"), F.col("path")).alias("url"))
-    # a page that has a rule asks no filter: its key is null and meets nothing
-    asks = F.when(F.col("by_rule").isNull() & (F.col("url") != ""), F.col("url"))
-    parsed = parsed.select("page_id", "host", "path", "rule", "by_rule", asks.alias("url"))
-    probed = parsed.join(hint(table), _block(parsed["url"], blocks) == table["block"], "left")
-    need = _mask(F.col("url"))
-    maybe = probed.select("page_id", "host", "path", "rule", "by_rule", F.when(F.col("mask").bitwiseAND(need) == need, F.col("url")).alias("url"))
-    exact = listed.select(F.col("url").alias("hit"))
-    out = maybe.join(hint(exact), maybe["url"] == exact["hit"], "left")
-    hit = F.col("hit").isNotNull()
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), hit.alias("listed"))
+    asks = F.col("by_rule").isNull() & (F.col("url") != "")
+    columns = ["page_id", "host", "path", "rule"]
+    if n <= broadcast_rows:
+        # one pass over the pages; a page that asks nothing has a null URL, and the joins are broadcast
+        parsed = parsed.withColumn("url", F.when(asks, F.col("url")))
+        probed = parsed.join(F.broadcast(table), _block(parsed["url"], blocks) == table["block"], "left")
+        need = _mask(F.col("url"))
+        maybe = probed.withColumn("url", F.when(F.col("mask").bitwiseAND(need) == need, F.col("url")))
+        exact = F.broadcast(listed.select(F.col("url").alias("hit")))
+        out = maybe.join(exact, maybe["url"] == exact["hit"], "left").withColumn("listed", F.col("hit").isNotNull())
+    else:
+        asked = parsed.where(asks).groupBy("url").agg(F.count(F.lit(1)).alias("pages"))
+        judged = stored(asked.join(listed_of(asked.select("url"), listed, table, blocks).withColumn("listed", F.lit(True)), "url", "left"), "asked_urls")
+        judged = judged.select("url", F.coalesce("listed", F.lit(False)).alias("listed"), "pages")
+        rest = parsed.where(~asks).select(*columns, "by_rule", F.lit(False).alias("listed"))
+        out = joined(parsed.where(asks), judged, ["url"], "pages").select(*columns, "by_rule", "listed").unionByName(rest)
+    verdict = F.coalesce("by_rule", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*columns, verdict.alias("verdict"), "listed")
