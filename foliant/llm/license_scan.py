@@ -4,7 +4,8 @@ All windows of K words of every text are hashed and joined to the places of the
 at word w of the text and word p of a template lies on diagonal w - p; hits are counted by document, template and
 diagonal, neighbouring diagonals merged (an inserted or lost word moves what follows to the next one). A merged span is
 then verified: of its hits the longest chain that goes forward in both the text and the template is its alignment, and it
-counts when the chain has enough of the template's windows, those of the words that tell templates apart among them.
+counts when the chain has enough of the template's windows, those of the words that tell templates apart among them. Of
+spans that overlap, the one with the most windows counts alone.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ NEAR = 2
 #: Share of a template's windows, and fewest windows, that an alignment must hit.
 SHARE, LEAST = 0.6, 2
 #: Words that tell templates apart, besides the first number of a version.
-TELLING = ("sa", "nc")
+TELLING = ("sa", "nc", "nd", "lesser", "affero")
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the contract.
@@ -38,9 +39,11 @@ TEMPLATES = [
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
+    ("lgpl-3.0", "this work is licensed under the gnu lesser general public license version 3"),
+    ("lgpl-3.0", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    *[(f"cc-by{'-' * bool(kind)}{kind.replace(' ', '-')}-4.0", " ".join(f"licensed under cc by {kind} 4 0".split())) for kind in ("", "sa", "nc", "nd", "nc sa", "nc nd")],
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved"),
@@ -122,7 +125,26 @@ def vote(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     told = F.forall("telling", lambda t: F.exists("hits", lambda x: t.between(x["place"], x["place"] + K - 1)))
     share = F.least(F.col("n") / F.col("n_windows"), F.lit(1.0))
     enough = (F.col("n") >= F.least(F.lit(LEAST), F.col("n_windows"))) & (share >= SHARE) & told
-    return spans.where(enough).select("doc_id", "text_hash", "label", F.round(share, 6).alias("score"), "first", "last")
+    return best_of_overlaps(spans.where(enough).select("doc_id", "text_hash", "label", "n", F.round(share, 6).alias("score"), "first", "last"))
+
+
+def best_of_overlaps(spans: DataFrame) -> DataFrame:
+    """Without the spans that overlap one of another label with more windows, or as many and a greater share of its template's.
+
+    Spans of a text are cut into islands that overlap nothing else; only those of an island, at one place no more than
+    there are templates, are compared.
+    """
+    of = ["doc_id", "text_hash"]
+    so_far = Window.partitionBy(*of).orderBy("first", "last", "label").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce((F.col("first") > F.max("last").over(so_far)).cast("int"), F.lit(1))
+    order = Window.partitionBy(*of).orderBy("first", "last", "label").rowsBetween(Window.unboundedPreceding, 0)
+    islands = spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order))
+    row = F.struct("label", "n", "score", "first", "last")
+    held = islands.groupBy(*of, "island").agg(F.collect_set(row).alias("spans"))
+    beats = lambda y, x: (y["n"] > x["n"]) | ((y["n"] == x["n"]) & (y["score"] > x["score"]))
+    over = lambda y, x: (y["label"] != x["label"]) & (y["first"] <= x["last"]) & (x["first"] <= y["last"])
+    kept = F.filter("spans", lambda x: ~F.exists("spans", lambda y: over(y, x) & beats(y, x)))
+    return held.select(*of, F.explode(kept).alias("s")).select(*of, "s.label", "s.score", "s.first", "s.last")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
