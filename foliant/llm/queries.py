@@ -85,6 +85,7 @@ _RULE = """CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND sta
  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END"""
+_DIGITS, _SPAM = ", ".join(f"'{d}'" for d in LISTED_DIGITS), ", ".join(f"'{x}'" for x in SPAM_LABELS)
 _HOSTS, _LANGUAGES = ", ".join(f"'{h}'" for h in LISTED_HOSTS), ", ".join(f"'{x}'" for x in LISTED_LANGUAGES)
 
 SQL = {
@@ -97,7 +98,9 @@ parsed AS (SELECT page_id,
  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (SELECT *, {_RULE} AS rule FROM parsed),
 keyed AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') AS h, regexp_replace(path, '(/index\.html?|\.html?|/+)$', '') AS p FROM ruled),
-hit AS (SELECT *, rule IS NULL AND h IN (SELECT h FROM hosts) AND p IN (SELECT p FROM paths) AS listed FROM keyed)
+labelled AS (SELECT *, string_split(host, '.') AS labels FROM keyed),
+own AS (SELECT DISTINCT h || p AS u FROM labelled WHERE substr(md5(h || p), 1, 1) IN ({_DIGITS}) OR list_has_any(labels, [{_SPAM}])),
+hit AS (SELECT *, rule IS NULL AND h || p <> '' AND (h IN (SELECT h FROM hosts) AND p IN (SELECT p FROM paths) OR h || p IN (SELECT u FROM own)) AS listed FROM labelled)
 SELECT page_id, host, path, rule,
  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM hit""",
@@ -107,12 +110,17 @@ keyed AS (SELECT *, regexp_replace(url, '(?s)#.*$', '') AS u FROM base),
 parts AS (SELECT *, regexp_replace(translate(regexp_extract(u, '(?s)^.*?://([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(www|m)\.', '') AS h,
  regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?]*([^?]*)', 1), '/+$', '') AS p,
  regexp_replace(regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?]*[^?]*\?(.*)$', 1), '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+', '') AS q FROM keyed),
-named AS (SELECT *, CASE WHEN contains(url, '://') THEN h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS k,
- '"' || md5(html) || '"' AS tag FROM parts),
-found AS (SELECT r.page_id, r.k, max(s.page_id) AS source FROM named r LEFT JOIN named s ON r.k = s.k AND s.page_id <= r.page_id GROUP BY r.page_id, r.k),
-joined AS (SELECT f.page_id AS i, f.k, s.page_id AS source, s.tag AS source_tag, n.tag, f.page_id % 5 AS kind FROM found f JOIN named n ON n.page_id = f.page_id LEFT JOIN named s ON s.page_id = f.source),
-judged AS (SELECT *, CASE WHEN source IS NULL THEN 'missing' WHEN kind = 0 THEN 'changed' WHEN kind >= 3 THEN CASE WHEN tag = source_tag THEN 'resolved' ELSE 'changed' END
- WHEN kind = 1 THEN CASE WHEN i % 365 = source % 365 THEN 'resolved' ELSE 'changed' END ELSE 'unverified' END AS outcome FROM joined)
-SELECT -1 - i AS record_id, k AS url_key, i * 10 + 7 AS ts, source AS response_id, source * 10 AS response_ts, outcome,
- CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || (i + 1) || ';etag=' || source_tag || ';expires=0' END AS headers FROM judged""",
+named AS (SELECT *, CASE WHEN contains(url, '://') THEN h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS k FROM parts),
+tags AS (SELECT page_id AS i, k, '"' || md5(html) || '"' AS tag, '"' || md5(md5(html)) || '"' AS tag2 FROM named),
+responses AS (SELECT k, i * 10 AS id, i * 100 AS ts, tag AS etag, 'day ' || i % 365 AS modified, i AS date FROM tags
+ UNION ALL SELECT k, i * 10 + 1, i * 100 + 40, tag2, 'day ' || (i + 1) % 365, i FROM tags WHERE i % 3 <> 0),
+revisits AS (SELECT k, -i * 10 - 1 AS id, i * 100 - 5 AS ts, tag AS etag, NULL AS modified, i FROM tags
+ UNION ALL SELECT k, -i * 10 - 2, i * 100 + 20, CASE WHEN i % 5 = 0 THEN '"other"' WHEN i % 5 >= 3 THEN 'W/' || tag END, CASE WHEN i % 5 <> 2 THEN 'day ' || i % 365 END, i FROM tags
+ UNION ALL SELECT k, -i * 10 - 3, i * 100 + 60, tag, NULL, i FROM tags),
+found AS (SELECT r.id, max(struct_pack(ts := s.ts, id := s.id)) AS x FROM revisits r JOIN responses s ON r.k = s.k AND s.ts < r.ts GROUP BY r.id),
+joined AS (SELECT r.*, s.id AS response_id, s.ts AS response_ts, s.etag AS old, s.modified AS was, s.date FROM revisits r LEFT JOIN found f ON r.id = f.id LEFT JOIN responses s ON s.id = f.x.id),
+judged AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = old THEN 'resolved' ELSE 'changed' END
+ WHEN modified IS NOT NULL THEN CASE WHEN modified = was THEN 'resolved' ELSE 'changed' END ELSE 'unverified' END AS outcome FROM joined)
+SELECT id AS record_id, k AS url_key, ts, response_id, response_ts, outcome,
+ CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || (i + 1) || ';etag=' || old || ';expires=0' END AS headers FROM judged""",
 }
