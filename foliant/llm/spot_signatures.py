@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, stored, text_of
+from foliant.llm.common import let, place_among, stored, text_of
 
 CHAIN = 2
 #: Frequent function words of the languages at hand.
@@ -86,14 +86,8 @@ def with_next(rows: DataFrame, id_column: str, payload: list[str], n: int) -> Da
     parts = max(1, min(MAX_RANGES, n // ROWS_IN_RANGE, 64 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ids = rows.select("__id").agg(F.percentile_approx("__id", [(k + 1) / parts for k in range(parts)], 10 * max(parts, 1000)), F.max("__id")).head()
     cuts = sorted({int(c) for c in [*(ids[0] or []), ids[1]] if c is not None}) or [0]  # at most MAX_RANGES ids
-    side = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + side] for i in range(0, len(cuts), side)]
-    longs = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<bigint>")
-    below = lambda bounds: F.size(F.filter(bounds, lambda c: c < F.col("__id")))
-    rows = rows.withColumn("__c", below(longs([g[-1] for g in groups])))
-    rows = rows.withColumn("__g", F.get(F.array(*[longs(g) for g in groups]), F.col("__c")))
-    rows = rows.withColumn("__f", below(F.col("__g"))).withColumn("__r", F.col("__c") * side + F.col("__f"))
-    is_cut = F.get(F.col("__g"), F.col("__f")) == F.col("__id")
+    rows = rows.withColumn("__r", place_among(F.col("__id"), cuts))
+    is_cut = F.get(F.array(*map(F.lit, cuts)).cast("array<bigint>"), F.col("__r")) == F.col("__id")
     to = F.when(is_cut, F.array(F.col("__r"), F.pmod(F.col("__r") + 1, F.lit(len(cuts))))).otherwise(F.array(F.col("__r")))
     dealt = rows.select(id_column, *payload, "__id", F.posexplode(to).alias("__guest", "__range"))
     order = Window.partitionBy("__range").orderBy("__guest", F.col("__id").desc(), *payload)
