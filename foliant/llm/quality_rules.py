@@ -21,8 +21,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_FROM = 50, 50, 0.5
 ROUNDS = 40
 #: The share of good documents, given and not estimated: a rule that warns alone looks the same whether it errs or is right.
 BALANCE = 0.8
-#: What is expected counts as if so great a share of the documents had shown it.
-PRIOR_SHARE = 0.5
+#: What is expected counts as if so great a share of the documents had shown it: of a rule that never votes good more, since nothing but its warnings tells of it.
+PRIOR_SHARE, DEFECT_SHARE = 0.02, 0.5
 #: By class (1: good): what is expected before documents are seen of the probabilities of the votes 1, -1 and 0. A rule warns rarely of good documents; that most rules are content says little, since a bad document mostly breaks one.
 START = {1: (0.8, 0.01, 0.19), 0: (0.6, 0.3, 0.1)}
 #: (name, bad if, good if) over the columns of features(); neither: abstains. One rule a feature, as rules that read one
@@ -101,13 +101,14 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[i
     total = sum(n for _, n in patterns)
     base = math.log(BALANCE / (1 - BALANCE))
     right = [dict(START) for _ in RULES]
+    two_sided = {k for k in range(len(RULES)) if any(p[k] == 1 for p, _ in patterns)}
     odds = lambda: [{v: math.log(r[1][k] / r[0][k]) for v, k in ((1, 0), (-1, 1), (0, 2))} for r in right]
     for _ in range(ROUNDS if total else 0):
         w = odds()
         good = [1 / (1 + math.exp(-max(-50.0, min(50.0, base + sum(o[v] for o, v in zip(w, p, strict=True)))))) for p, _ in patterns]
         mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        weight = PRIOR_SHARE * total + 1
         for k in range(len(RULES)):
+            weight = (PRIOR_SHARE if k in two_sided else DEFECT_SHARE) * total + 1
             for c in (1, 0):
                 seen = {1: 0.0, -1: 0.0, 0: 0.0}
                 for g, (p, n) in zip(good, patterns, strict=True):
