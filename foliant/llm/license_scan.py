@@ -22,8 +22,9 @@ K = 3
 NEAR = 2
 #: Share of a template's windows, and fewest windows, that an alignment must hit.
 SHARE, LEAST = 0.6, 2
-#: Words that tell templates apart, besides the first number of a version.
+#: Words that tell templates apart, besides the first number of a version; and neighbours that nothing may come between.
 TELLING = ("sa", "nc", "nd", "lesser", "affero")
+TELLING_PAIRS = (("gnu", "general"), ("lesser", "general"), ("affero", "general"))
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the contract.
@@ -53,14 +54,15 @@ TEMPLATES = [
 def template_windows(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(h, t0, t1, t2, template, place, n_windows, label, telling): every window of every template; no more rows than the templates have words."""
     rows = [(i, label, text.split(), telling(text.split())) for i, (label, text) in enumerate(templates)]
-    t = spark.createDataFrame(rows, "template int, label string, words array<string>, telling array<int>")
+    t = spark.createDataFrame(rows, "template int, label string, words array<string>, telling array<struct<a:int,b:int>>")
     w = t.select("template", "label", "telling", (F.size("words") - K + 1).alias("n_windows"), F.posexplode(windows(F.col("words"))).alias("place", "w"))
     return w.select("w.h", *[F.col(f"w.w{j}").alias(f"t{j}") for j in range(K)], "template", "place", "n_windows", "label", "telling")
 
 
-def telling(words: list[str]) -> list[int]:
-    """Places of the words by which a template differs from its like."""
-    return [i for i, w in enumerate(words) if w in TELLING or (w.isdigit() and not (i and words[i - 1].isdigit()))]
+def telling(words: list[str]) -> list[tuple[int, int]]:
+    """First and last places of what tells a template from its like."""
+    alone = [(i, i) for i, w in enumerate(words) if w in TELLING or (w.isdigit() and not (i and words[i - 1].isdigit()))]
+    return alone + [(i, i + 1) for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in TELLING_PAIRS]
 
 
 def chain(hits: Column, n_windows: Column) -> Column:
@@ -122,7 +124,7 @@ def vote(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     spans = spans.where(F.size("hits") >= F.least(F.lit(LEAST), F.col("n_windows")))
     spans = spans.withColumn("hits", F.when(F.col("diagonals") == 1, F.sort_array("hits")).otherwise(chain(F.col("hits"), F.col("n_windows"))))
     spans = spans.select("*", F.size("hits").alias("n"), F.get("hits", F.lit(0))["word"].alias("first"), (F.element_at("hits", -1)["word"] + K - 1).alias("last"))
-    told = F.forall("telling", lambda t: F.exists("hits", lambda x: t.between(x["place"], x["place"] + K - 1)))
+    told = F.forall("telling", lambda t: F.exists("hits", lambda x: (t["a"] >= x["place"]) & (t["b"] <= x["place"] + K - 1)))
     share = F.least(F.col("n") / F.col("n_windows"), F.lit(1.0))
     enough = (F.col("n") >= F.least(F.lit(LEAST), F.col("n_windows"))) & (share >= SHARE) & told
     return best_of_overlaps(spans.where(enough).select("doc_id", "text_hash", "label", "n", F.round(share, 6).alias("score"), "first", "last"))
