@@ -26,6 +26,11 @@ SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: A model file's types, and by how much an unknown character scores less than the worst piece.
 UNIGRAM, BPE, UNKNOWN_LOSS = 1, 2, 10.0
+LOST = float("-inf")
+#: So many pairs of pieces are remembered at most.
+PAIRS = 500_000
+#: Strings up to this length are merged by plain search.
+SHORT = 48
 
 
 def fields(message: bytes) -> Iterator[tuple[int, object]]:
@@ -82,13 +87,27 @@ class Pieces:
         for p, i in self.id.items():
             self.automaton.add_word(p, (i, len(p), self.score[p]))
         self.automaton.make_automaton()
-        self.together = Recent(self._together)
+        self.pairs: dict[int, bool] = {}
         self.unit = Recent(self._unit_bytes)
 
     def merged(self, s: str) -> list[str]:
-        """Merging by its definition: the neighbours whose joint piece scores best, the leftmost of equals, until none are left. Each merge makes two new neighbours, so a heap does it in n log n."""
+        """Merging by its definition: the neighbours whose joint piece scores best, the leftmost of equals, until none are left."""
+        return self.merged_short(list(s)) if len(s) <= SHORT else self.merged_long(s)
+
+    def merged_short(self, parts: list[str]) -> list[str]:
+        score = self.score.get
+        while True:
+            scores = [score(a + b, LOST) for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(scores, default=LOST)
+            if best == LOST:
+                return parts
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def merged_long(self, s: str) -> list[str]:
+        """Each merge makes two new neighbours, so a heap does it in n log n."""
         parts: list[str] = list(s)
-        left, right = list(range(-1, len(s) - 1)), [*range(1, len(s)), -1]
+        right, left = [*range(1, len(s)), -1], list(range(-1, len(s) - 1))
         heap: list[tuple[float, int, str]] = []
 
         def offer(i):
@@ -111,48 +130,56 @@ class Pieces:
             offer(i)
         return [p for p in parts if p]
 
-    def _together(self, key: str) -> bool:
-        a, b = key.split("\n")
-        return self.merged(self.piece[int(a)] + self.piece[int(b)]) == [self.piece[int(a)], self.piece[int(b)]]
-
-    def fits(self, last: int, i: int) -> bool:
-        """Whether piece ``i`` may follow ``last`` (negative: no piece)."""
-        return self.kind == UNIGRAM or last < 0 or self.together[f"{last}\n{i}"]
+    def apart_when_merged(self, last: int, i: int) -> bool:
+        """Whether merging leaves pieces ``last`` and ``i`` apart. Remembered in pairs."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        a, b = self.piece[last], self.piece[i]
+        out = self.pairs[last * len(self.piece) + i] = self.merged(a + b) == [a, b]
+        return out
 
     def segment(self, s: str) -> list[int]:
-        """Ids of a unit: the best path of pieces over it."""
-        n = len(s)
-        best = [float("-inf")] * (n + 1)
-        back = [(-2, 0)] * (n + 1)  # of each end: last piece's id (-1: a character without piece) and length
-        best[0] = 0.0
-
-        def unknown_up_to(end):
+        """Ids of a unit: the best path of pieces over it. In a BPE model one piece at most passes at a place, so that its first stays."""
+        n, free, known, pairs, pieces = len(s), self.kind == UNIGRAM, self.id, self.pairs, len(self.piece)
+        best = [LOST] * (n + 1)
+        last, length = [-2] * (n + 1), [0] * (n + 1)  # of each end: last piece's id (-1: a character without piece) and length
+        best[0], done = 0.0, 0
+        gaps = not known.keys() >= set(s)
+
+        def unknown(up_to):
             """Characters without a piece of their own count as unknown."""
-            nonlocal done
-            while done < end:
-                done += 1
-                score = best[done - 1] + self.unknown_score
-                if s[done - 1] not in self.id and score > best[done]:
-                    best[done], back[done] = score, (-1, 1)
-
-        done = 0
+            for at in range(done, up_to):
+                score = best[at] + self.unknown_score
+                if s[at] not in known and score > best[at + 1]:
+                    best[at + 1], last[at + 1], length[at + 1] = score, -1, 1
+
         for end, (i, size, own) in self.automaton.iter(s):
-            unknown_up_to(end)
-            score = best[end + 1 - size] + own
-            if score > best[end + 1] and self.fits(back[end + 1 - size][0], i):
-                best[end + 1], back[end + 1] = score, (i, size)
-        unknown_up_to(n)
-        if best[n] == float("-inf"):  # equal scores can leave a BPE unit without a path of pairs
+            if gaps and done < end:
+                unknown(end)
+                done = end
+            at, end = end + 1 - size, end + 1
+            score = best[at] + own
+            if score > best[end] and (free or best[end] == LOST):
+                before = last[at]
+                passes = free or before < 0
+                if not passes:
+                    passes = pairs.get(before * pieces + i)
+                    if passes is None:
+                        passes = self.apart_when_merged(before, i)
+                if passes:
+                    best[end], last[end], length[end] = score, i, size
+        if gaps:
+            unknown(n)
+        if best[n] == LOST:  # equal scores can leave a BPE unit without a path of pairs
             return self.ids_of(self.merged(s))
         out: list[int] = []
         end = n
         while end:
-            i, size = back[end]
-            if i >= 0:
-                out.append(i)
-            elif self.byte or not out or out[-1] != self.unknown or self.kind == BPE:
+            if last[end] >= 0:
+                out.append(last[end])
+            elif self.byte or not out or out[-1] != self.unknown or not free:
                 out.extend(self.fallback(s[end - 1])[::-1])
-            end -= size
+            end -= length[end]
         return out[::-1]
 
     def ids_of(self, parts: list[str]) -> list[int]:
