@@ -88,10 +88,12 @@ def estimate_common(a: Column, b: Column) -> Column:
 
 
 def sets_of(classes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(v, set) of ``classes`` (v, d, h1), each made again of the text of its first row; ``texts`` (d, s)."""
-    made = texts.join(hinted(classes), "d").select("v", "h1", F.sort_array(shingle_set(F.col("s"), k)).alias("set"))
-    # a row of another text whose d is the same by chance goes
-    return made.where(F.xxhash64("set") == F.col("h1")).select("v", "set")
+    """(v, set) of ``classes`` (v, d, h1), each made again of the text of its first row, stored; ``texts`` (d, s)."""
+    made = stored(texts.join(hinted(classes), "d").select("v", "h1", F.sort_array(shingle_set(F.col("s"), k)).alias("set")), "sets")
+    # a row of another text whose d is the same by chance goes; asked before storing, it would become a key of the join and be made of every text
+    out = made.where(F.xxhash64("set") == F.col("h1")).select("v", "set")
+    out._foliant_path = made._foliant_path
+    return out
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -99,9 +101,11 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
     of = lambda df, side, column: df.select(F.col("v").alias(side), F.col(column).alias(f"{column}_{side}"))
     likely = pairs.join(of(classes, "a", "sketch"), "a").join(of(classes, "b", "sketch"), "b")
     likely = stored(likely.where(estimate_common(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b"), "likely")
+    if likely.isEmpty():
+        return likely
     near = likely.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(classes.select("v", "first.d", "h1"), "v")
     near = stored(near, "near")
-    sets = stored(sets_of(near, texts, k), "sets")
+    sets = sets_of(near, texts, k)
     exact = likely.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b")
     out = stored(exact.where(jaccard_at_least(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"), "links")
     release(likely, near, sets)
@@ -177,43 +181,55 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return ranked.where(first & F.col("length").isNotNull()).select("v", "value", "length", "central").join(classes.select("v", "n"), "v")
 
 
+def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after ``links`` besides, stored; as they were where there are none."""
+    if links.isEmpty():
+        return roots
+    known = roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
+    return stored(components(known.union(links)), "roots")
+
+
 def linked(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, root) of every class with a link of ``percent``, stored; ``classes`` has v, n, h1, sketch and first, ``texts`` d and s."""
+    """(v, root) of every class with a link of ``percent``, stored; ``classes`` has v, n, h1, sketch and first, ``texts`` d and s.
+
+    Steps that have nothing left to do are not begun.
+    """
     keyed = stored(inverted_lists(classes), "lists")
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     center = stored(keyed.groupBy("value").agg(F.max(F.struct("central", "v", "n")).alias("center"), F.count(F.lit(1)).alias("heat")), "centers")
     stars = joined(keyed, center, ["value"], "heat").where((F.col("v") != F.col("center.v")) & fits(F.col("n"), F.col("center.n")))
     stars = stars.select(F.least("center.v", "v").alias("a"), F.greatest("center.v", "v").alias("b")).distinct()
-    links = verified(stars, classes, texts, k, percent)
-    roots = stored(components(links), "roots")
+    done = verified(stars, classes, texts, k, percent)
+    roots = stored(components(done), "roots")
 
     mixed = rooted(keyed, roots)
-    pairs = across(mixed.where(F.col("length") <= LONG), fits(F.col("x.n"), F.col("y.n"))).join(links, ["a", "b"], "left_anti")
-    more = verified(pairs, classes, texts, k, percent)
-
+    release(keyed, center)
+    pairs = across(mixed.where(F.col("length") <= LONG), fits(F.col("x.n"), F.col("y.n"))).join(done, ["a", "b"], "left_anti")
     hard = stored(mixed.where(F.col("length") > LONG).select("v").distinct().join(classes.select("v", "first.d", "h1"), "v"), "hard")
-    sets = stored(sets_of(hard, texts, k), "hard_sets")
+    roots = contracted(roots, verified(pairs, classes, texts, k, percent))
+    if hard.isEmpty():
+        return roots
+
+    sets = sets_of(hard, texts, k)
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     early = (F.col("x.place") <= F.col("x.n") - need + 1) & (F.col("y.place") <= F.col("y.n") - need + 1)
     differ = sum(F.bit_count(F.get("x.bits", F.lit(j)).bitwiseXOR(F.get("y.bits", F.lit(j)))) for j in range(BITMAP_WORDS))
     near = F.col("x.n") + F.col("y.n") - differ >= 2 * need
     met = stored(prefixes(sets, percent), "prefixes")
-    release(keyed, center, mixed, hard, sets)
+    release(mixed, hard, sets)
     near_fits = fits(F.col("x.n"), F.col("y.n")) & early & near
-    named_roots = lambda r: r.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
     by_place = Window.partitionBy("value").orderBy("place", "v")
-    done = links.select("a", "b")
-    for _ in range(ROUNDS):
+    for last in [False] * ROUNDS + [True]:
         open_lists = rooted(met, roots)
+        if open_lists.isEmpty():
+            break
         pivots = open_lists.where("root = most").withColumn("order", F.row_number().over(by_place)).where(F.col("order") <= PIVOTS).drop("order")
-        tested = stored(across(open_lists, near_fits, pivots).join(done, ["a", "b"], "left_anti"), "tested")
+        tested = across(open_lists, near_fits) if last else across(open_lists, near_fits, pivots)
+        tested = stored(tested.join(done, ["a", "b"], "left_anti"), "tested")
         release(open_lists)
+        roots = contracted(roots, verified(tested, classes, texts, k, percent))
         done = done.union(tested)
-        more = more.union(verified(tested, classes, texts, k, percent))
-        roots = stored(components(named_roots(roots).union(more)), "roots")
-    pairs = across(rooted(met, roots), near_fits).join(done, ["a", "b"], "left_anti")
-    last = verified(pairs, classes, texts, k, percent)
-    return stored(components(named_roots(roots).union(last)), "roots")
+    return roots
 
 
 def grouped(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
