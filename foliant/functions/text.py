@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ SPACE = r"[\s\u0085  -     　]"
 
 
 def strip_accents(s: Column) -> Column:
+    """Letters without their marks, đ as d. Null stays null."""
     return F.regexp_replace(F.translate(s, "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{Mn}+", "")
 
 
 def match_key(s: Column) -> Column:
     """Accents, case and punctuation removed; words joined by single spaces."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(s)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(folded(s), "[^a-z0-9]+", " "))
 
 
 def clean_title(s: Column) -> Column:
@@ -33,14 +35,27 @@ def letters(s: Column, upper: bool = False) -> Column:
     return F.length(F.regexp_replace(s, r"[^\p{Lu}]+" if upper else r"[^\p{L}]+", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once for each row however often the body, lambdas included, names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def folded(s: Column) -> Column:
+    """Without accents and in lower case; ASCII takes the short way."""
+    return F.when(F.octet_length(s) == F.char_length(s), F.lower(s)).otherwise(F.lower(strip_accents(s)))
+
+
 def is_heading(line: Column) -> Column:
-    """A section heading: numbered, or mostly upper case; never a question or a caption."""
-    t = clean_title(line)
-    low = F.lower(strip_accents(t))
-    numbered = low.rlike(r"^(bai|chuong)\s+\d+") | low.rlike(rf"^({ROMAN})\.\s+") | (low.rlike(r"^\d+[.)]\s+") & (F.length(t) <= 90))
-    shouted = (letters(t) >= 5) & (letters(t, True) >= 0.65 * letters(t)) & F.size(F.split(t, " ")).between(2, 16)
-    ok = F.length(t).between(3, 140) & ~t.endswith("?") & ~low.rlike(rf"^({CAPTIONS})\s")
-    return F.coalesce(ok & (numbered | shouted), F.lit(False))
+    """A section heading: numbered, or mostly upper case; never a question or a caption. Null is none."""
+
+    def titled(t, low):
+        numbered = low.rlike(r"^(bai|chuong)\s*\d+\b") | low.rlike(rf"^({ROMAN})\.\s+") | (low.rlike(r"^\d+[.)]\s+") & (F.length(t) <= 90))
+        shouted = (letters(t) >= 5) & (letters(t, True) >= 0.65 * letters(t)) & F.size(F.split(t, " ")).between(2, 16)
+        return ~low.rlike(rf"^({CAPTIONS})\s") & (numbered | shouted)
+
+    sized = lambda t: F.length(t).between(3, 140) & ~t.endswith("?")
+    found = let(clean_title(line), lambda t: F.when(sized(t), let(folded(t), lambda low: titled(t, low))))
+    return F.coalesce(found, F.lit(False))
 
 
 def grade_of(book_id: Column) -> Column:
@@ -49,22 +64,41 @@ def grade_of(book_id: Column) -> Column:
 
 
 def chunk_uid(book_id: Column, lesson_id: Column, index: Column) -> Column:
+    """book:lesson:0001; what can't stand in an id is an underscore, a null or empty lesson is unknown."""
     safe = F.btrim(F.regexp_replace(F.coalesce(F.nullif(lesson_id, F.lit("")), F.lit("unknown")), r"[^A-Za-z0-9_-]+", "_"), F.lit("_"))
     number = index.cast("string")
     return F.concat(book_id, F.lit(":"), safe, F.lit(":"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
 
 
 def pages_label(pages: Column) -> Column:
+    """First and last of sorted pages, whatever lies between; one alone; empty for none."""
     first, last = F.get(pages, F.lit(0)).cast("string"), F.element_at(pages, -1).cast("string")
     return F.when(F.size(pages) == 0, F.lit("")).when(F.size(pages) == 1, first).otherwise(F.concat(first, F.lit("-"), last))
 
 
+#: Characters whose case folding isn't their lower case, by rule from the Unicode tables; and the capital sigma, whose lower case depends on what follows.
+_FOLDS = {c: c.casefold() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1F000)]) if c.casefold() != c.lower() or c == "Σ"}
+
+
+def casefold(s: Column) -> Column:
+    """Unicode case folding, as ß to ss. Most texts have none of the characters that lower() treats otherwise."""
+    table = F.create_map(*[F.lit(x) for pair in _FOLDS.items() for x in pair])
+    each = F.transform(F.regexp_extract_all(s, F.lit(r"(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    return F.when(s.rlike(f"[{''.join(_FOLDS)}]"), F.array_join(each, "")).otherwise(F.lower(s))
+
+
 def preview(s: Column, limit: int) -> Column:
+    """White space collapsed; longer than ``limit``, cut there and marked with three dots. Null stays null."""
     t = F.trim(F.regexp_replace(s, SPACE + "+", " "))
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit))), F.lit("...")))
 
 
-def redact(s: Column, pattern: str, known: tuple[str, ...] = (), mask: str = "[REDACTED]") -> Column:
+#: Fixed value: what keys of the model service look like, and what stands for them in messages.
+API_KEY, REDACTED_KEY = r"AIza[0-9A-Za-z_\-]{20,}", "[REDACTED_API_KEY]"
+
+
+def redact(s: Column, pattern: str = API_KEY, known: tuple[str, ...] = (), mask: str = REDACTED_KEY) -> Column:
+    """``s`` with what matches ``pattern`` and the ``known`` secrets masked. Null stays null."""
     out = F.regexp_replace(s, pattern, mask)
     for k in known:
         out = F.replace(out, F.lit(k), F.lit(mask))
