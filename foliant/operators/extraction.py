@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import text as X
+
 #: The entity lists of a response with node label and edge type, and the words that mark errors, in order of priority.
 ENTITIES = {
     "khai_niem_dinh_nghia": ("KhaiNiemV2", "DINH_NGHIA"), "cau_truc_chuc_nang": ("CauTrucChucNang", "MO_TA_CAU_TRUC_CHUC_NANG"), "co_che_qua_trinh": ("CoChe", "GIAI_THICH_CO_CHE"),
     "thi_nghiem_chung_minh": ("ThiNghiem", "CHUNG_MINH_BANG_THI_NGHIEM"), "ung_dung_thanh_tuu": ("UngDung", "CO_UNG_DUNG_THUC_TIEN"), "y_nghia_sinh_hoc": ("YNghia", "MANG_Y_NGHIA_SINH_HOC"),
 }
 SUMMARY = "tom_tat_cot_loi"
-ERRORS = [("quota", "429|quota|rate limit|resource_exhausted|too many requests"), ("key", "api key|api_key|permission_denied|unauthenticated|401|403"), ("transient", "500|502|503|504|timeout|unavailable|ssl|connection"), ("json", "json|expecting value|delimiter")]
+#: The words in a message that mark an error, by kind in order of priority, and the types whose messages can be about JSON.
+QUOTA = ("429", "quota", "rate limit", "rate_limit", "ratelimit", "rate exceeded", "rateexceeded", "resource exhausted", "resource_exhausted", "resourceexhausted",
+         "too many requests", "too_many_requests", "per minute", "per day", "free tier", "try again later")
+KEY = ("api key not valid", "api_key_invalid", "invalid api key", "invalid_api_key", "api key expired", "api key revoked", "authentication", "unauthenticated", "unauthorized",
+       "permission denied", "permission_denied", "forbidden", "403", "401")
+TRANSIENT = ("timeout", "deadline exceeded", "deadline_exceeded", "temporarily unavailable", "unavailable", "service unavailable", "internal server error", "connection reset",
+             "connection aborted", "connection refused", "remote disconnected", "dns", "ssl", "socket", "503", "504", "500", "502")
+JSON = ("json", "parse", "parser", "decode", "không hợp lệ", "response rỗng", "không có text hợp lệ", "không phải object")
+JSON_TYPES = ("JSONDecodeError", "ValueError", "TypeError")
+ERRORS = {"quota": QUOTA, "key": KEY, "transient": TRANSIENT, "json": JSON}
 
 
 def unfenced(s: Column) -> Column:
-    t = F.regexp_replace(s, r"^\s+|\s+$", "")
+    """What a fence of three backticks encloses, if it encloses all; else the text, without outer white space."""
+    t = X.strip_space(s)
     inner = F.regexp_extract(t, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
     return F.when(t.rlike(r"(?is)^```(?:json)?\s*.*```$"), inner).otherwise(t)
 
@@ -40,13 +54,17 @@ def balanced(s: Column) -> Column:
 
 
 def repaired(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(s, "^﻿", ""), r",\s*([}\]])", "$1")
+    """Without commas before a closing bracket, and without byte order marks."""
+    return X.strip_space(F.replace(F.regexp_replace(s, r",\s*([}\]])", "$1"), F.lit("\ufeff"), F.lit("")))
 
 
 def parsed(s: Column) -> Column:
     """The response as a variant, or null: as it is, its balanced object, or that repaired."""
-    t = unfenced(s)
-    return F.coalesce(F.try_parse_json(t), F.try_parse_json(balanced(t)), F.try_parse_json(repaired(balanced(t))))
+
+    def object_of(t):
+        return X.let(balanced(t), lambda o: F.coalesce(F.try_parse_json(o), F.try_parse_json(repaired(o))))
+
+    return X.let(unfenced(s), lambda t: F.coalesce(F.try_parse_json(t), object_of(t)))
 
 
 def entity_lists(v: Column) -> Column:
@@ -61,18 +79,38 @@ def entity_lists(v: Column) -> Column:
     return F.struct(*[one(k) for k in ENTITIES], F.coalesce(F.try_variant_get(v, f"$.{SUMMARY}", "string"), F.lit("")).alias(SUMMARY))
 
 
-def error_kind(message: Column) -> Column:
+def response_problem(s: Column) -> Column:
+    """Why a response can't be used: "empty", "not JSON", "not an object"; else null."""
+    kind = F.schema_of_variant(parsed(s))
+    return F.when(s.isNull() | (X.strip_space(s) == ""), F.lit("empty")).when(kind.isNull(), F.lit("not JSON")).when(~kind.startswith("OBJECT"), F.lit("not an object"))
+
+
+def error_kind(message: Column, error_type: Column | None = None) -> Column:
+    """quota, key, transient, json or fatal by the words of an error's message, the first that fits. Errors are about JSON only if of a type in JSON_TYPES, where the type is given. A null message is fatal."""
+    low = F.lower(message)
+    has = lambda words: F.coalesce(low.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
     out = F.lit("fatal")
-    for kind, pattern in reversed(ERRORS):
-        out = F.when(F.lower(message).rlike(pattern), F.lit(kind)).otherwise(out)
+    for kind, words in reversed(ERRORS.items()):
+        hit = has(words) if kind != "json" or error_type is None else has(words) & error_type.isin(*JSON_TYPES)
+        out = F.when(hit, F.lit(kind)).otherwise(out)
     return out
 
 
+def error_summary(error_type: Column, message: Column, code: Column, status_code: Column, status: Column, reason: Column, known: tuple[str, ...] = ()) -> Column:
+    """The parts of an error that are there, as name=value joined by bars; the message with its secrets masked, at most 800 characters of it."""
+    named = lambda name, c, when: F.when(when & c.isNotNull() & (c != ""), F.concat(F.lit(f"{name}="), c))
+    full = F.concat_ws(" ", F.concat(error_type, F.lit(": "), message), *[F.coalesce(c, F.lit("")) for c in (code, status_code, status, reason)])
+    always = F.lit(True)
+    other = ~status_code.eqNullSafe(code)
+    parts = [named("type", error_type, always), named("code", code, always), named("status_code", status_code, other), named("status", status, always), named("reason", reason, always)]
+    return F.concat_ws(" | ", *parts, F.concat(F.lit("message="), X.preview(X.redact(full, known=known), 800)))
+
+
 def dedupe_values(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, value): of equal values but for case, the first."""
+    """(keys, pos, value): of values that are equal but for case folding, the first."""
     named = rows.select(*keys, "pos", F.trim("value").alias("value")).where("value <> ''")
     # aggregated before the shuffle, so that a repeated value of a text is sent once
-    return named.groupBy(*keys, F.lower("value").alias("__low")).agg(F.min(F.struct("pos", "value")).alias("v")).select(*keys, "v.pos", "v.value")
+    return named.groupBy(*keys, X.casefold(F.col("value")).alias("__low")).agg(F.min(F.struct("pos", "value")).alias("v")).select(*keys, "v.pos", "v.value")
 
 
 def nodes(values: DataFrame, label: str, name: str = "value", seq: str = "seq", props: tuple[str, ...] = ()) -> DataFrame:
@@ -82,4 +120,5 @@ def nodes(values: DataFrame, label: str, name: str = "value", seq: str = "seq",
 
 
 def edges(values: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
+    """Distinct (src, type, dst)."""
     return values.select(F.col(src).alias("src"), F.lit(kind).alias("type"), F.col(dst).alias("dst")).distinct()
