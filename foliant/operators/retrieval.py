@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
+#: So many queries' vectors travel to the items at once; more go in rounds.
+QUERIES_AT_ONCE = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def doubles(v: Column) -> Column:
+    return F.transform(v, lambda x: x.cast("double"))
 
 
 def cosine(a: Column, b: Column) -> Column:
+    a, b = doubles(a), doubles(b)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -23,46 +33,106 @@ def top_k(scored: DataFrame, k: int, item: str) -> DataFrame:
 
 
 def vector_search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine. The stated queries travel as one array to all items; no item meets another."""
-    block = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("qs")).withColumn("__one", F.lit(1)))
-    pairs = items.withColumn("__one", F.lit(1)).join(block, "__one").select("chunk_id", "embedding", F.explode("qs").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "chunk_id", F.round(cosine(F.col("embedding"), F.col("q.vector")), 6).alias("score"))
-    return top_k(scored, k, "chunk_id")
+    """(query_id, chunk_id, score, rank) by cosine, exact.
+
+    The stated queries travel in one broadcast array of at most QUERIES_AT_ONCE vectors to all items, in as many rounds as
+    it takes; no item meets another. Norms are taken once a vector. Vectors that are null, of no length or of another
+    size than the query's have no score and aren't found. For a search that reads few of the items see near_buckets().
+    """
+    rounds = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    lengthy = lambda df, v, *keep: df.select(*keep, doubles(F.col(v)).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
+    held, asked = lengthy(items, "embedding", "chunk_id"), lengthy(queries, "vector", "query_id")
+
+    def scores(part):
+        block = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "v", "norm")).alias("qs")))
+        pairs = held.join(block, F.lit(True)).select("chunk_id", "v", "norm", F.explode("qs").alias("q"))
+        score = F.when(F.size("v") == F.size("q.v"), dot(F.col("v"), F.col("q.v")) / (F.col("norm") * F.col("q.norm")))
+        return pairs.select(F.col("q.query_id").alias("query_id"), "chunk_id", F.round(score, 6).alias("score")).where("score IS NOT NULL")
+
+    parts = [scores(asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)) for r in range(rounds)]
+    return top_k(reduce(DataFrame.unionByName, parts), k, "chunk_id")
+
+
+#: An index of random planes: so many tables of so many planes each.
+TABLES, PLANES = 12, 6
+
+
+def buckets(v: Column, size: int, tables: int = TABLES, planes: int = PLANES) -> Column:
+    """Array of the bucket in each table: on which side of each plane a vector lies. Planes are made by rule from their numbers."""
+    rng = random.Random(20_240)
+    out = []
+    for t in range(tables):
+        number = F.lit(t)
+        for _ in range(planes):
+            plane = F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(size)])
+            number = number * 2 + (dot(v, plane) > 0).cast("int")
+        out.append(number)
+    return F.array(*out)
+
+
+def near_buckets(items: DataFrame, queries: DataFrame, k: int, size: int, tables: int = TABLES, planes: int = PLANES) -> DataFrame:
+    """vector_search() that reads only items which share a bucket with the query: approximate, scores exact.
+
+    Items are indexed all, once a table. At defaults each table holds the buckets that differ in no more than one plane
+    from the query's own too.
+    """
+    held = items.where("embedding IS NOT NULL").select("chunk_id", doubles(F.col("embedding")).alias("v"))
+    index = held.select("chunk_id", "v", F.posexplode(buckets(F.col("v"), size, tables, planes)).alias("t", "b"))
+    asked = queries.select("query_id", doubles(F.col("vector")).alias("q"))
+    own = asked.select("query_id", "q", F.posexplode(buckets(F.col("q"), size, tables, planes)).alias("t", "b"))
+    flips = F.array(F.lit(0), *[F.lit(1 << p) for p in range(planes)])
+    probes = own.select("query_id", "q", "t", F.explode(F.transform(flips, lambda f: F.col("b").bitwiseXOR(f))).alias("b"))
+    pairs = index.join(probes, ["t", "b"]).select("query_id", "chunk_id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")).distinct()
+    return top_k(pairs, k, "chunk_id")
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, in lower case; ASCII takes the short way."""
+    cut = lambda low, outside: F.filter(F.split(low, outside), lambda w: w != "")
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), cut(low, "[^a-z0-9]+")).otherwise(cut(low, r"[^\p{L}\p{N}]+"))
 
 
 def keyword_search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by BM25, any term. Items are reduced to the queries' terms before anything is shuffled."""
+    """(query_id, chunk_id, score, rank) by BM25, any term.
+
+    Items are reduced to the queries' terms, and one row for their length, before anything is shuffled; document
+    frequencies and totals come from that one shuffle. Which side is broadcast is left to Spark, as it knows the sizes.
+    """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = F.broadcast(terms.select("term").distinct())
-    held = items.select("chunk_id", tokens(F.col("text")).alias("ts"))
-    total = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("avg_len")).head()
-    n, mean = total["n"], total["avg_len"] or 1.0
-    tf = held.select("chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    wanted = terms.select("term").distinct().withColumn("hit", F.lit(True))
+    held = items.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("ts"))
+    # the null term at the end of each item carries its length through
+    each = held.select("chunk_id", F.size("ts").alias("len"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term"))
+    found = each.join(wanted, "term", "left").where(F.col("hit") | F.col("term").isNull())
+    tf = found.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = tf.where("term IS NULL").agg(F.sum("tf").cast("double").alias("n"), F.avg("len").alias("mean"))
+    df = tf.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = df.join(total, F.lit(True)).select("term", idf.alias("idf"), "mean")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = tf.join(df, "term").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_k(scored, k, "chunk_id")
 
 
-def fuse(vector: DataFrame, keyword: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion; ties by vector rank, then keyword rank."""
-    both = vector.select("query_id", "chunk_id", F.col("rank").alias("v"), F.lit(None).cast("int").alias("k")).unionByName(keyword.select("query_id", "chunk_id", F.lit(None).cast("int").alias("v"), F.col("rank").alias("k")))
+def fuse(vector: DataFrame, keyword: DataFrame, silent: bool = False) -> DataFrame:
+    """Reciprocal rank fusion; ties by vector rank, then keyword rank. With ``silent`` a query without a keyword result keeps its vector results as they are."""
+    none = F.lit(None).cast("int")
+    both = vector.select("query_id", "chunk_id", F.col("rank").alias("v"), none.alias("k"), "score")
+    both = both.unionByName(keyword.select("query_id", "chunk_id", none.alias("v"), F.col("rank").alias("k"), F.lit(None).cast("double").alias("score")))
     part = lambda c: F.coalesce(F.sum(F.lit(1.0) / (RRF + F.col(c))), F.lit(0.0))
-    fused = both.groupBy("query_id", "chunk_id").agg((part("v") + part("k")).alias("raw"), F.min("v").alias("v"), F.min("k").alias("k"))
-    w = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), F.col("v").asc_nulls_last(), F.col("k").asc_nulls_last())
-    return fused.select("query_id", "chunk_id", F.round("raw", 6).alias("score"), F.row_number().over(w).alias("rank"))
+    fused = both.groupBy("query_id", "chunk_id").agg((part("v") + part("k")).alias("raw"), F.min("v").alias("v"), F.min("k").alias("k"), F.max("score").alias("score"))
+    of_query = Window.partitionBy("query_id")
+    rank = F.row_number().over(of_query.orderBy(F.col("raw").desc(), F.col("v").asc_nulls_last(), F.col("k").asc_nulls_last()))
+    out = fused.withColumn("rank", rank).withColumn("heard", F.max(F.col("k").isNotNull()).over(of_query))
+    alone = F.lit(silent) & ~F.col("heard")
+    return out.select("query_id", "chunk_id", F.when(alone, F.col("score")).otherwise(F.round("raw", 6)).alias("score"), "rank")
 
 
 def hybrid(items: DataFrame, queries: DataFrame, k: int = 3, fetch: int = 10) -> DataFrame:
-    """The best k of fused vector and keyword results; a query without a keyword hit keeps its vector scores."""
+    """The best k of fused vector and keyword results; a query without a keyword hit, a blank one among them, keeps its vector scores."""
     v, t = vector_search(items.where("embedding IS NOT NULL"), queries, fetch), keyword_search(items, queries, fetch)
-    silent = v.join(t.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "chunk_id", "score", "rank")
-    return fuse(v, t).join(t.select("query_id").distinct(), "query_id", "left_semi").unionByName(silent).where(F.col("rank") <= k)
+    return fuse(v, t, silent=True).where(F.col("rank") <= k)
 
 
 def keep_relevant(scored: DataFrame, n: int, least: float = 0.05) -> DataFrame:
@@ -74,7 +144,8 @@ def keep_relevant(scored: DataFrame, n: int, least: float = 0.05) -> DataFrame:
 
 def context(rows: DataFrame) -> DataFrame:
     """(query_id, context): the sources in rank order under numbered headings."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lesson", "text"))), lambda r: F.concat(F.lit("--- Nguồn "), r["rank"].cast("string"), F.lit(" (Bài: "), r["lesson"], F.lit(") ---\n"), r["text"], F.lit("\n\n")))
+    line = lambda r: F.concat(F.lit("--- Nguồn "), r["rank"].cast("string"), F.lit(" (Bài: "), r["lesson"], F.lit(") ---\n"), r["text"], F.lit("\n\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lesson", "text"))), line)
     return rows.groupBy("query_id").agg(F.array_join(parts, "").alias("context"))
 
 
