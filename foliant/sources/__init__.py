@@ -1 +1 @@
-"""Spark-native document, graph and retrieval operators."""
+"""Readers and writers of books, lessons, tables of contents, questions and images."""
