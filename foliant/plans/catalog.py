@@ -11,6 +11,7 @@ from foliant.operators import extraction as E
 from foliant.operators import objectives as O
 from foliant.operators import retrieval as R
 from foliant.operators import sessions as S
+from foliant.plans import services
 
 CHARS, COOLDOWN, QUERIES = 500, 6 * 3600, "benchmark"
 
@@ -29,7 +30,9 @@ def _lines(spark, sf):
 
 def _boxes(spark, sf):
     rows = _lines(spark, sf)
-    return rows.select("doc_id", "ord", F.col("line").alias("text"), ((F.col("ord") * 37 % 11) * 10.0).alias("top"), ((F.col("ord") * 53 % 7) * 5.0).alias("left"), ((F.col("doc_id") * 31 + F.col("ord") * 17) % 128 / 128.0).alias("score"))
+    top, left = (F.col("ord") * 37 % 11) * 10.0, (F.col("ord") * 53 % 7) * 5.0
+    score = (F.col("doc_id") * 31 + F.col("ord") * 17) % 128 / 128.0
+    return rows.select("doc_id", "ord", F.col("line").alias("text"), top.alias("top"), left.alias("left"), score.alias("score"))
 
 
 def _marked(spark, sf):
@@ -71,27 +74,32 @@ def accent_fold(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(X.match_key(F.col("text"))).alias("hash"))
 
 
-def _blocks(spark, sf):
-    return B.section_blocks(_lines(spark, sf).withColumn("title", F.col("source")), ["doc_id"], "title")
+def _lesson_pages(spark, sf):
+    """Documents as pages of books, by source, in lessons of the table of contents."""
+    pages = _docs(spark, sf).select("doc_id", "source", "text", (F.col("doc_id") % 210).cast("int").alias("page_number"))
+    return B.lessons_of_pages(pages, B.toc_table(spark))
 
 
 def section_blocks(spark, sf):
-    return _blocks(spark, sf).select("doc_id", "block", "section", F.md5("text").alias("hash"))
+    blocks = B.lesson_blocks(_lesson_pages(spark, sf), ["source", "lesson_id"], "doc_id", "lesson_title")
+    return blocks.select("source", "lesson_id", "section", F.array_join("pages", ",").alias("pages"), "first", F.md5("text").alias("hash"))
 
 
 def greedy_pack(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.posexplode(B.pack_lines(F.col("text"), CHARS)).alias("piece", "t")).select("doc_id", "piece", F.length("t").alias("n_chars"), F.md5("t").alias("hash"))
+    pieces = _docs(spark, sf).select("doc_id", F.posexplode(B.pack_lines(F.col("text"), CHARS)).alias("piece", "t"))
+    return pieces.select("doc_id", "piece", F.length("t").alias("n_chars"), F.md5("t").alias("hash"))
 
 
 def toc_chunks(spark, sf):
-    pages = B.lessons_of_pages(_docs(spark, sf).select("doc_id", "source", "text", (F.col("doc_id") % 210).cast("int").alias("page_number")), B.toc_table(spark))
-    blocks = B.lesson_blocks(pages, ["source", "lesson_id"], "doc_id", "lesson_title")
-    return B.chunks(blocks, "source", "lesson_id", "lesson_title", CHARS).select("source", "lesson_id", "chunk_id", "chunk_index", "global_chunk_index", "section", "source_pages", F.md5("markdown_content").alias("hash"))
+    blocks = B.lesson_blocks(_lesson_pages(spark, sf), ["source", "lesson_id"], "doc_id", "lesson_title")
+    out = B.chunks(blocks, "source", "lesson_id", "lesson_title", CHARS)
+    return out.select("source", "lesson_id", "chunk_id", "chunk_index", "global_chunk_index", "section", "source_pages", F.md5("markdown_content").alias("hash"))
 
 
 def legacy_chunks(spark, sf):
     text = F.concat(F.lit("before\n# Bài "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## ")))
-    return B.heading_chunks(_docs(spark, sf).select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "idx", F.md5("section").alias("section"), F.md5("lesson").alias("lesson"), F.length("text").alias("n_chars"))
+    out = B.heading_chunks(_docs(spark, sf).select("doc_id", text.alias("text")), "doc_id", "text")
+    return out.select("doc_id", "chunk_id", "idx", "grade", F.md5("section").alias("section"), F.md5("lesson").alias("lesson"), F.md5("text").alias("hash"))
 
 
 def objective_extract(spark, sf):
@@ -107,8 +115,10 @@ def lesson_merge(spark, sf):
     d = _docs(spark, sf)
     lesson = F.concat(F.lit("l"), F.col("doc_id").cast("string")).alias("lesson_id")
     objectives = lambda cond: F.when(cond, F.array(F.col("source"), F.col("lang"))).otherwise(F.array().cast("array<string>"))
-    new = d.where("doc_id % 3 <> 0").select(lesson, F.lit("new").alias("title"), objectives(F.col("doc_id") % 2 == 0).alias("objectives"), F.lit("ocr:auto").alias("source"))
-    old = d.where("doc_id % 5 <> 0").select(lesson, F.when(F.col("doc_id") % 7 != 0, F.lit("old")).alias("title"), F.array(F.lit("kept")).alias("objectives"), F.when(F.col("doc_id") % 4 == 0, F.lit("hand")).otherwise(F.lit("ocr:x")).alias("source"), (F.col("doc_id") % 11 == 0).alias("reviewed"))
+    every = lambda n: F.col("doc_id") % n == 0
+    new = d.where(~every(3)).select(lesson, F.lit("new").alias("title"), objectives(every(2)).alias("objectives"), F.lit("ocr:auto").alias("source"))
+    title, source = F.when(~every(7), F.lit("old")), F.when(every(4), F.lit("hand")).otherwise(F.lit("ocr:x"))
+    old = d.where(~every(5)).select(lesson, title.alias("title"), F.array(F.lit("kept")).alias("objectives"), source.alias("source"), every(11).alias("reviewed"))
     return B.merge_lessons(new, old, force=False).select("lesson_id", "title", F.array_join("objectives", ",").alias("objectives"), "source", "reviewed")
 
 
@@ -118,7 +128,8 @@ def resume_pending(spark, sf):
 
 def _upserted(spark, sf):
     d = _docs(spark, sf)
-    base = d.where("doc_id % 2 = 0").select("doc_id", "source", F.col("lang").alias("body"), F.col("n_chars").alias("entities"), F.lit(True).alias("active"), F.lit(None).cast("string").alias("replaced_by"))
+    body, entities, nobody = F.col("lang").alias("body"), F.col("n_chars").alias("entities"), F.lit(None).cast("string").alias("replaced_by")
+    base = d.where("doc_id % 2 = 0").select("doc_id", "source", body, entities, F.lit(True).alias("active"), nobody)
     delta = d.where("doc_id % 3 = 0 AND source IN ('src1', 'src2', 'src3')").select("doc_id", "source", F.lit("new").alias("body"))
     return B.upsert(base, delta, "doc_id", ["entities"], "source", "run-2")
 
@@ -132,7 +143,9 @@ def purge_inactive(spark, sf):
 
 
 def url_rewrite(spark, sf):
-    return _t(spark, sf, "pages").where(F.col("html").contains("/The") | F.col("html").contains("/and")).select("page_id", F.md5(B.rewrite(F.col("html"), {"/The": "https://img.example/1.png", "/and": "https://img.example/2.png"})).alias("hash"))
+    urls = spark.createDataFrame([("/The", "https://img.example/1.png"), ("/and", "https://img.example/2.png")], "local_ref string, url string")
+    pages = _t(spark, sf, "pages").where(F.col("html").contains("/The") | F.col("html").contains("/and"))
+    return B.rewrite_by(pages.select("page_id", "html"), "html", urls).select("page_id", F.md5("html").alias("hash"))
 
 
 def json_props(spark, sf):
@@ -148,18 +161,16 @@ def json_repair(spark, sf):
 
 
 def entity_lists(spark, sf):
-    body = F.concat(F.lit('{"khai_niem_dinh_nghia":["a","'), F.col("lang"), F.lit('"],"co_che_qua_trinh":"'), F.col("source"), F.lit('","ung_dung_thanh_tuu":null,"y_nghia_sinh_hoc":'), F.col("doc_id").cast("string"), F.lit(',"tom_tat_cot_loi":null}'))
+    middle = F.lit('","ung_dung_thanh_tuu":null,"y_nghia_sinh_hoc":')
+    head, tail = F.lit('{"khai_niem_dinh_nghia":["a","'), F.lit(',"tom_tat_cot_loi":null}')
+    body = F.concat(head, F.col("lang"), F.lit('"],"co_che_qua_trinh":"'), F.col("source"), middle, F.col("doc_id").cast("string"), tail)
     x = _docs(spark, sf).select("doc_id", E.entity_lists(F.parse_json(body)).alias("x"))
     return x.select("doc_id", *[F.array_join(f"x.{k}", ",").alias(k) for k in E.ENTITIES], f"x.{E.SUMMARY}")
 
 
-def error_route(spark, sf):
-    message = F.concat(F.lit("Error "), F.element_at(F.array(*map(F.lit, ("429 too many", "API key invalid", "503 unavailable", "Expecting value", "odd"))), (F.col("event_id") % 5 + 1).cast("int")), F.lit(" in "), F.col("event_type"))
-    return _t(spark, sf, "events").select("event_id", E.error_kind(message).alias("kind"))
-
-
 def secret_redact(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(X.redact(F.col("text"), r"[\w.+-]+@[\w-]+\.[a-z]+|AIza[0-9A-Za-z_-]{10,}", ("Licensed",))).alias("hash"))
+    masked = X.redact(F.col("text"), r"[\w.+-]+@[\w-]+\.[a-z]+|AIza[0-9A-Za-z_-]{10,}", ("Licensed",), "[REDACTED]")
+    return _docs(spark, sf).select("doc_id", F.md5(masked).alias("hash"))
 
 
 def text_preview(spark, sf):
@@ -304,7 +315,7 @@ def eval_resume(spark, sf):
 
 NAMES = """html_comment_strip page_marker_split reading_order page_confidence toc_interval_join out_of_toc_pages section_headings accent_fold
 section_blocks greedy_pack toc_chunks legacy_chunks objective_extract objective_dedupe lesson_merge resume_pending chunk_upsert purge_inactive
-url_rewrite json_props json_repair entity_lists error_route secret_redact text_preview entity_dedupe graph_nodes graph_edges concept_degree
+url_rewrite json_props json_repair entity_lists secret_redact text_preview entity_dedupe graph_nodes graph_edges concept_degree
 embed_pending vector_topk bm25_topk hybrid_retrieve graph_expand rerank_threshold context_assembly verify_defaults chat_cooldown history_list
 session_get session_delete push_messages user_search user_page role_update source_title eval_precision_recall eval_summary eval_resume""".split()
-CATALOG = {n: globals()[n] for n in NAMES}
+CATALOG = {n: globals()[n] for n in NAMES} | services.QUERIES
