@@ -112,10 +112,13 @@ SQL = {
  s AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t, i * 10.0 AS y, ((doc_id * 31 + i * 17) % 16) / 16.0 AS score FROM l
  UNION ALL SELECT doc_id, printf('![Hình ảnh minh hoạ](/img/page_%04d_img_1.png)', doc_id), 15.0, NULL FROM documents WHERE doc_id % 3 = 0)
  SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY y)) AS hash, round(avg(score), 4) AS avg_confidence FROM s WHERE t <> '' GROUP BY doc_id""",
-    "box_kinds": """WITH e AS (SELECT event_id, event_id % 5 AS k, event_id * 7 % 60 AS a, event_id * 11 % 50 AS b, event_id * 13 % 60 AS c, event_id * 17 % 50 AS d FROM events),
- r AS (SELECT event_id, CASE WHEN k < 2 THEN a WHEN k = 2 THEN least(a, c) END AS l, CASE WHEN k < 2 THEN b WHEN k = 2 THEN least(b, d) END AS t, CASE WHEN k < 2 THEN c WHEN k = 2 THEN greatest(a, c) END AS r, CASE WHEN k < 2 THEN d WHEN k = 2 THEN greatest(b, d) END AS b FROM e),
+    "box_kinds": """WITH e AS (SELECT event_id, event_id % 5 AS k, event_id * 7 % 60 AS a, event_id * 11 % 50 AS b, event_id * 13 % 60 AS c,
+  event_id * 17 % 50 AS d FROM events),
+ r AS (SELECT event_id, CASE WHEN k < 2 THEN a WHEN k = 2 THEN least(a, c) END AS l, CASE WHEN k < 2 THEN b WHEN k = 2 THEN least(b, d) END AS t, CASE
+  WHEN k < 2 THEN c WHEN k = 2 THEN greatest(a, c) END AS r, CASE WHEN k < 2 THEN d WHEN k = 2 THEN greatest(b, d) END AS b FROM e),
  p AS (SELECT *, greatest(l - 4, 0) AS pl, greatest(t - 4, 0) AS pt, least(r + 4, 60) AS pr, least(b + 4, 50) AS pb FROM r)
- SELECT event_id, l::DOUBLE AS "left", t::DOUBLE AS top, r::DOUBLE AS "right", b::DOUBLE AS bottom, CASE WHEN pr > pl AND pb > pt THEN pl END::INTEGER AS crop_left, CASE WHEN pr > pl AND pb > pt THEN pb END::INTEGER AS crop_bottom FROM p""",
+ SELECT event_id, l::DOUBLE AS "left", t::DOUBLE AS top, r::DOUBLE AS "right", b::DOUBLE AS bottom, CASE WHEN pr > pl
+  AND pb > pt THEN pl END::INTEGER AS crop_left, CASE WHEN pr > pl AND pb > pt THEN pb END::INTEGER AS crop_bottom FROM p""",
     "line_fallback": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN props ELSE event_type END AS text FROM events",
 }
 
@@ -167,7 +170,8 @@ def _queued(spark, sf):
 
 
 class ScriptedModel:
-    """Answers by the number in the prompt: one in ten never with JSON, one in seven first with a fenced object that has a comma too many; one key is spent, one refused."""
+    """Answers by the number in the prompt: one in ten never with JSON, one in seven first with a fenced object that has a comma too many; one key is spent,
+  one refused."""
 
     def __init__(self, key: str):
         self.key, self.asked = key, 0
@@ -252,26 +256,39 @@ def error_summaries(spark, sf):
 
 SQL |= {
     "entity_normalise": """WITH e AS (SELECT event_id, event_id % 5 AS f, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)
- SELECT event_id, CASE f WHEN 0 THEN 'Gene|K' || k WHEN 1 THEN 'N' || k WHEN 2 THEN 'A|' || k || '; x' ELSE '' END AS khai_niem_dinh_nghia, CASE f WHEN 1 THEN 'True' ELSE '' END AS co_che_qua_trinh,
+ SELECT event_id, CASE f WHEN 0 THEN 'Gene|K' || k WHEN 1 THEN 'N' || k WHEN 2 THEN 'A|' || k || '; x' ELSE '' END AS khai_niem_dinh_nghia, CASE f
+  WHEN 1 THEN 'True' ELSE '' END AS co_che_qua_trinh,
  CASE f WHEN 0 THEN 'tóm' WHEN 2 THEN 's plain' WHEN 3 THEN 'only text' ELSE '' END AS summary FROM e""",
-    "graph_of_chunks": """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, lang, text, source || '_' || CASE WHEN doc_id % 5 <> 0 THEN 'l' || doc_id % 7 ELSE 'Lesson ' || lang END AS lesson FROM documents),
- w AS (SELECT id, regexp_replace(v, '[^a-zA-Z]', '', 'g') AS v, pos FROM (SELECT id, unnest(string_split(text, ' ')) AS v, generate_subscripts(string_split(text, ' '), 1) AS pos FROM c)),
+    "graph_of_chunks": """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, lang, text, source || '_' || CASE
+  WHEN doc_id % 5 <> 0 THEN 'l' || doc_id % 7 ELSE 'Lesson ' || lang END AS lesson FROM documents),
+ w AS (SELECT id, regexp_replace(v, '[^a-zA-Z]', '', 'g') AS v, pos FROM (SELECT id, unnest(string_split(text, ' ')) AS v, generate_subscripts(string_split(text,
+  ' '), 1) AS pos FROM c)),
  k AS (SELECT id, arg_min(v, pos) AS v FROM w WHERE length(v) > 6 GROUP BY id, lower(v))
- SELECT DISTINCT source AS src, 'BAO_GOM' AS type, lesson AS dst FROM c UNION SELECT lesson, 'CO_PHAN_DOAN', id FROM c UNION SELECT id, 'DINH_NGHIA', v FROM k UNION SELECT id, 'GIAI_THICH_CO_CHE', lang FROM c""",
-    "graph_lessons": """WITH c AS (SELECT doc_id, 'Lesson ' || lang AS lesson_title, n_chars, source || '_' || CASE WHEN doc_id % 5 <> 0 THEN 'l' || doc_id % 7 ELSE 'Lesson ' || lang END AS key FROM documents)
+ SELECT DISTINCT source AS src, 'BAO_GOM' AS type, lesson AS dst FROM c UNION SELECT lesson, 'CO_PHAN_DOAN', id FROM c UNION SELECT id, 'DINH_NGHIA', v FROM k
+  UNION SELECT id, 'GIAI_THICH_CO_CHE', lang FROM c""",
+    "graph_lessons": """WITH c AS (SELECT doc_id, 'Lesson ' || lang AS lesson_title, n_chars, source || '_' || CASE WHEN doc_id % 5 <> 0 THEN 'l' || doc_id % 7
+  ELSE 'Lesson ' || lang END AS key FROM documents)
  SELECT key, arg_max(lesson_title, doc_id) AS lesson_title, arg_max(n_chars, doc_id) AS lesson_page_start FROM c GROUP BY key""",
     "enrich_run": """WITH q AS (SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 6 <> 0 AS queued, doc_id % 10 = 0 AS bad FROM documents)
- SELECT doc_id, NOT queued AND doc_id % 4 = 0 OR queued AND NOT bad AS api_refined, CASE WHEN queued THEN CASE WHEN bad THEN 'json_error_skipped' ELSE 'done' END END AS phase3_status,
- CASE WHEN queued AND NOT bad THEN 'K' || doc_id END AS concept, CASE WHEN queued AND NOT bad THEN '2025-01-01T00:00:00' END AS refined_at, CASE WHEN queued AND bad THEN 'ValueError' END AS phase3_error_type FROM q""",
+ SELECT doc_id, NOT queued AND doc_id % 4 = 0 OR queued AND NOT bad AS api_refined, CASE WHEN queued THEN CASE WHEN bad THEN 'json_error_skipped'
+  ELSE 'done' END END AS phase3_status,
+ CASE WHEN queued AND NOT bad THEN 'K' || doc_id END AS concept, CASE WHEN queued AND NOT bad THEN '2025-01-01T00:00:00' END AS refined_at, CASE WHEN queued
+  AND bad THEN 'ValueError' END AS phase3_error_type FROM q""",
     "enrich_status": """WITH q AS (SELECT doc_id % 10 = 0 AS bad FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 6 <> 0)
- SELECT CASE WHEN bool_or(bad) THEN 'complete_with_skipped_chunks' ELSE 'complete' END AS status, count(*) AS n, CAST(count(*) FILTER (bad) AS BIGINT) AS skipped FROM q""",
-    "graph_sync": """WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS synced, doc_id % 4 = 0 AND doc_id % 6 <> 0 AND doc_id % 3 <> 0 AS queued, doc_id % 8 = 0 AS bad FROM documents)
- SELECT doc_id, CASE WHEN queued AND NOT bad THEN true ELSE synced END AS neo4j_synced, CASE WHEN queued THEN CASE WHEN bad THEN 'error' ELSE 'done' END END AS phase4_status, CASE WHEN queued AND bad THEN 'lost connection' END AS phase4_error FROM q""",
-    "embed_run": "SELECT vec_id AS chunk_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings UNION ALL SELECT doc_id, 64 FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings) AND length(text) % 11 <> 0",
+ SELECT CASE WHEN bool_or(bad) THEN 'complete_with_skipped_chunks' ELSE 'complete' END AS status, count(*) AS n,
+  CAST(count(*) FILTER (bad) AS BIGINT) AS skipped FROM q""",
+    "graph_sync": """WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS synced, doc_id % 4 = 0 AND doc_id % 6 <> 0
+  AND doc_id % 3 <> 0 AS queued, doc_id % 8 = 0 AS bad FROM documents)
+ SELECT doc_id, CASE WHEN queued AND NOT bad THEN true ELSE synced END AS neo4j_synced, CASE WHEN queued THEN CASE WHEN bad THEN 'error'
+  ELSE 'done' END END AS phase4_status, CASE WHEN queued AND bad THEN 'lost connection' END AS phase4_error FROM q""",
+    "embed_run": """SELECT vec_id AS chunk_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings UNION ALL SELECT doc_id, 64 FROM documents WHERE text <> ''
+  AND doc_id NOT IN (SELECT vec_id FROM embeddings) AND length(text) % 11 <> 0""",
     "error_route": f"SELECT event_id, [{', '.join(repr(k) for k in MESSAGES.values())}][event_id % {len(MESSAGES)} + 1] AS kind FROM events",
     "error_summaries": """WITH e AS (SELECT event_id, event_id % 2 = 0 AS even, CASE WHEN event_id % 3 = 0 THEN '429' END AS code,
- 'ApiError: key [REDACTED_API_KEY] of ' || event_type AS head FROM events), m AS (SELECT *, trim(regexp_replace(head || CASE WHEN even THEN repeat(' word', 200) ELSE '' END || ' ' || coalesce(code, '') || ' 429  ' || CASE WHEN even THEN 'RATE' ELSE '' END, '\\s+', ' ', 'g')) AS t FROM e)
- SELECT event_id, 'type=ApiError' || CASE WHEN code IS NOT NULL THEN ' | code=429' ELSE ' | status_code=429' END || CASE WHEN even THEN ' | reason=RATE' ELSE '' END || ' | message=' || CASE WHEN length(t) > 800 THEN rtrim(left(t, 800)) || '...' ELSE t END AS summary FROM m""",
+ 'ApiError: key [REDACTED_API_KEY] of ' || event_type AS head FROM events), m AS (SELECT *, trim(regexp_replace(head || CASE WHEN even THEN repeat(' word',
+  200) ELSE '' END || ' ' || coalesce(code, '') || ' 429  ' || CASE WHEN even THEN 'RATE' ELSE '' END, '\\s+', ' ', 'g')) AS t FROM e)
+ SELECT event_id, 'type=ApiError' || CASE WHEN code IS NOT NULL THEN ' | code=429' ELSE ' | status_code=429' END || CASE WHEN even THEN ' | reason=RATE'
+  ELSE '' END || ' | message=' || CASE WHEN length(t) > 800 THEN rtrim(left(t, 800)) || '...' ELSE t END AS summary FROM m""",
 }
 
 
@@ -312,9 +329,12 @@ def objective_scan(spark, sf):
 
 
 SQL |= {
-    "markdown_roundtrip": r"SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page_number, md5(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS hash FROM documents",
-    "pages_json_roundtrip": r"""SELECT source AS book_id, 'running' AS status, CAST(count(*) OVER (PARTITION BY source) AS INTEGER) AS completed_pages, CAST(doc_id AS INTEGER) AS page_number,
- md5(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS hash, doc_id % 100 / 100.0 AS avg_confidence, 3.0::DOUBLE AS "right" FROM documents""",
+    "markdown_roundtrip": r"""SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page_number, md5(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'),
+  '^\s+|\s+$', '', 'g')) AS hash FROM documents""",
+    "pages_json_roundtrip": r"""SELECT source AS book_id, 'running' AS status, CAST(count(*) OVER (PARTITION BY source) AS INTEGER) AS completed_pages,
+  CAST(doc_id AS INTEGER) AS page_number,
+ md5(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '^\s+|\s+$', '', 'g')) AS hash, doc_id % 100 / 100.0 AS avg_confidence,
+  3.0::DOUBLE AS "right" FROM documents""",
     "csv_roundtrip": "SELECT item_id AS question_id, md5('q \"' || text || '\",' || chr(10) || '2') AS hash FROM benchmark",
     "objective_scan": """WITH toc AS (SELECT printf('lesson_%02d', i + 1) AS lesson_id, 7 + (i * 191) // 44 AS a, 7 + ((i + 1) * 191) // 44 - 1 AS b FROM range(44) r(i)),
  p AS (SELECT doc_id % 210 AS n, arg_max(text, doc_id) AS text FROM documents GROUP BY 1),
@@ -429,30 +449,43 @@ _ME = "'U' || c_custkey || '@example.com'"
 _ADMIN = "coalesce(c_custkey % 10 = 0, false)"
 _SUPER = f"(c_custkey % 10 <> 0 AND c_custkey % 50 = 7 OR {_ME} = 'U4@example.com')"
 SQL |= {
-    "query_escape": r"""SELECT item_id, regexp_replace(text || ' gì? (a+b) [c]:"d" \ /e/ !f ~g ^h {i} & | *-', '([+\-&|!(){}\[\]^"~*?:\\/])', '\\\1', 'g') AS escaped FROM benchmark""",
+    "query_escape": r"""SELECT item_id, regexp_replace(text || ' gì? (a+b) [c]:"d" \ /e/ !f ~g ^h {i} & | *-', '([+\-&|!(){}\[\]^"~*?:\\/])', '\\\1',
+  'g') AS escaped FROM benchmark""",
     "verification": """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) % 4 AS k, event_id % 9 = 0 AS s FROM events)
- SELECT event_id, CASE WHEN NOT s AND k = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, s OR k <> 0 AS is_faithful, s OR k <> 1 AS is_relevant, CASE WHEN NOT s AND k = 0 THEN 'a,b' ELSE '' END AS issues, s AS skipped FROM e""",
-    "token_check": "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'TOKEN_REVOKED' WHEN event_id % 5 = 0 THEN 'USER_DISABLED' WHEN event_id % 7 = 0 THEN 'INVALID' ELSE 'OK' END AS status FROM events",
-    "user_me": f"SELECT c_custkey AS uid, CASE WHEN {_ADMIN} OR c_custkey = 12 THEN 'admin' ELSE 'user' END AS role, CASE WHEN c_custkey <> 12 THEN {_ME} END AS shown_email, c_custkey = 12 AS granted FROM customer",
+ SELECT event_id, CASE WHEN NOT s AND k = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, s OR k <> 0 AS is_faithful, s OR k <> 1 AS is_relevant, CASE WHEN NOT s
+  AND k = 0 THEN 'a,b' ELSE '' END AS issues, s AS skipped FROM e""",
+    "token_check": """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'TOKEN_REVOKED' WHEN event_id % 5 = 0 THEN 'USER_DISABLED'
+  WHEN event_id % 7 = 0 THEN 'INVALID' ELSE 'OK' END AS status FROM events""",
+    "user_me": f"""SELECT c_custkey AS uid, CASE WHEN {_ADMIN} OR c_custkey = 12 THEN 'admin' ELSE 'user' END AS role, CASE
+  WHEN c_custkey <> 12 THEN {_ME} END AS shown_email, c_custkey = 12 AS granted FROM customer""",
     "user_admin": f"""SELECT c_custkey AS uid, CASE WHEN c_custkey % 9 < 4 THEN CASE WHEN {_SUPER} THEN 403 ELSE 200 END END AS status,
  CASE WHEN c_custkey % 9 < 4 AND NOT {_SUPER} THEN c_custkey % 2 = 0 ELSE {_ADMIN} END AS admin FROM customer""",
     "user_status": f"""SELECT c_custkey AS uid, CASE WHEN c_custkey % 9 < 4 THEN CASE WHEN {_SUPER} AND c_custkey % 2 = 0 THEN 403 ELSE 200 END END AS status,
  CASE WHEN c_custkey % 9 < 4 AND NOT ({_SUPER} AND c_custkey % 2 = 0) THEN c_custkey % 2 = 0 ELSE c_custkey % 4 = 0 END AS disabled FROM customer""",
-    "user_super": "SELECT c_custkey AS uid, CASE c_custkey WHEN 20 THEN 'admin=true,role=super_admin' WHEN 10 THEN 'admin=true' ELSE 'admin=false' END AS claims FROM customer WHERE c_custkey IN (10, 20, 21)",
+    "user_super": """SELECT c_custkey AS uid, CASE c_custkey WHEN 20 THEN 'admin=true,role=super_admin' WHEN 10 THEN 'admin=true'
+  ELSE 'admin=false' END AS claims FROM customer WHERE c_custkey IN (10, 20, 21)""",
     "user_list": f"SELECT c_custkey AS uid, {_ME} AS email, c_custkey % 4 = 0 AS disabled, {_ADMIN} AS admin FROM customer ORDER BY c_custkey LIMIT 1000",
-    "user_reset": "SELECT c_custkey AS uid, CASE WHEN c_custkey % 6 <> 0 THEN 200 ELSE 400 END AS status, CASE WHEN c_custkey % 6 <> 0 THEN 'https://reset.example/' || c_custkey END AS reset_link FROM customer",
-    "user_history": "SELECT conv_id AS session_id, min_by(CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END, turn) AS title, max(turn) AS created_at, 'u3' AS user_id FROM conversations WHERE conv_id % 5 = 3 GROUP BY conv_id",
+    "user_reset": """SELECT c_custkey AS uid, CASE WHEN c_custkey % 6 <> 0 THEN 200 ELSE 400 END AS status, CASE
+  WHEN c_custkey % 6 <> 0 THEN 'https://reset.example/' || c_custkey END AS reset_link FROM customer""",
+    "user_history": """SELECT conv_id AS session_id, min_by(CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END, turn) AS title,
+  max(turn) AS created_at, 'u3' AS user_id FROM conversations WHERE conv_id % 5 = 3 GROUP BY conv_id""",
     "messages_lost": "SELECT conv_id AS session_id, turn, role FROM conversations WHERE conv_id % 10 = 3",
-    "eval_metrics": """WITH v AS (SELECT doc_id // 10 AS question_id, quality AS verdict, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS rank FROM labels),
+    "eval_metrics": """WITH v AS (SELECT doc_id // 10 AS question_id, quality AS verdict, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS rank
+  FROM labels),
  p AS (SELECT *, sum(verdict) OVER (PARTITION BY question_id ORDER BY rank) / rank AS p FROM v),
  a AS (SELECT question_id, round(sum(p * verdict) / nullif(sum(verdict), 0), 6) AS context_precision FROM p GROUP BY 1),
- f AS (SELECT doc_id // 10 AS question_id, round(avg((toxic = 0)::INTEGER), 6) AS faithfulness FROM labels GROUP BY 1), r AS (SELECT doc_id // 10 AS question_id, round(avg((quality = 1)::INTEGER), 6) AS context_recall FROM labels WHERE doc_id % 2 = 0 GROUP BY 1),
- m AS (SELECT a.vec_id // 10 AS question_id, round(avg(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))), 6) AS answer_relevancy
+ f AS (SELECT doc_id // 10 AS question_id, round(avg((toxic = 0)::INTEGER), 6) AS faithfulness FROM labels GROUP BY 1), r AS (SELECT doc_id // 10 AS question_id,
+  round(avg((quality = 1)::INTEGER), 6) AS context_recall FROM labels WHERE doc_id % 2 = 0 GROUP BY 1),
+ m AS (SELECT a.vec_id // 10 AS question_id, round(avg(list_dot_product(a.embedding::DOUBLE[],
+  b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[],
+  b.embedding::DOUBLE[])))), 6) AS answer_relevancy
  FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1 GROUP BY 1)
- SELECT question_id, context_precision, context_recall, faithfulness, answer_relevancy FROM a FULL JOIN f USING (question_id) FULL JOIN r USING (question_id) FULL JOIN m USING (question_id)""",
+ SELECT question_id, context_precision, context_recall, faithfulness, answer_relevancy FROM a FULL JOIN f USING (question_id) FULL
+  JOIN r USING (question_id) FULL JOIN m USING (question_id)""",
     "eval_open_cells": """WITH m AS (SELECT unnest(['context_precision', 'context_recall', 'faithfulness', 'answer_relevancy']) AS metric, unnest([2, 3, 4, 5]) AS n)
  SELECT CAST(item_id AS VARCHAR) AS question, metric FROM benchmark, m WHERE CASE WHEN item_id % 4 = 1 THEN true ELSE item_id % 5 <> 0 AND item_id % n <> 0 END""",
-    "eval_next_step": """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CASE WHEN event_id % 5 >= 3 THEN 'next_key' ELSE 'again' END WHEN event_id % 4 = 2 THEN 'again' ELSE 'give_up' END AS action,
+    "eval_next_step": """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CASE WHEN event_id % 5 >= 3 THEN 'next_key' ELSE 'again' END
+  WHEN event_id % 4 = 2 THEN 'again' ELSE 'give_up' END AS action,
  CASE WHEN event_id % 4 < 2 THEN CASE WHEN event_id % 5 >= 3 THEN 0 ELSE 65 END ELSE 10 END AS rest FROM events""",
 }
 
