@@ -44,7 +44,8 @@ TEMPLATES = [
     ("lgpl-3.0", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
     ("lgpl-2.1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
     ("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
-    *[(f"cc-by{'-' * bool(kind)}{kind.replace(' ', '-')}-4.0", " ".join(f"licensed under cc by {kind} 4 0".split())) for kind in ("", "sa", "nc", "nd", "nc sa", "nc nd")],
+    *[(f"cc-by{'-' * bool(kind)}{kind.replace(' ', '-')}-4.0", " ".join(f"licensed under cc by {kind} 4 0".split())) for kind in ("", "sa", "nc",
+        "nd", "nc sa", "nc nd")],
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved"),
@@ -75,7 +76,8 @@ def chain(hits: Column, n_windows: Column) -> Column:
         return F.transform(ends, lambda c, i: F.when((i == hit["place"]) & (F.size(grown) > F.size(c)), grown).otherwise(c))
 
     # of hits at one word the later place comes first, so that none follows another
-    by_word = F.transform(F.sort_array(F.transform(hits, lambda x: F.struct(x["word"].alias("word"), (-x["place"]).alias("back")))), lambda x: F.struct(x["word"].alias("word"), (-x["back"]).alias("place")))
+    by_word = F.transform(F.sort_array(F.transform(hits, lambda x: F.struct(x["word"].alias("word"), (-x["place"]).alias("back")))),
+        lambda x: F.struct(x["word"].alias("word"), (-x["back"]).alias("place")))
     return F.aggregate(by_word, F.array_repeat(none, n_windows), step, longest)
 
 
@@ -108,11 +110,13 @@ def vote(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     The templates are broadcast: their size is that of the list. Only hits are shuffled. A hit is compared word by word,
     so that no two different windows count as equal.
     """
-    keyed = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("text_hash"), F.posexplode(windows(words_of(ascii_lower(text_of(docs)), SEPARATORS))).alias("word", "w"))
+    keyed = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("text_hash"),
+        F.posexplode(windows(words_of(ascii_lower(text_of(docs)), SEPARATORS))).alias("word", "w"))
     flat = keyed.select("doc_id", "text_hash", "word", F.col("w.h").alias("wh"), *[F.col(f"w.w{j}") for j in range(K)])
     t = F.broadcast(template_windows(docs.sparkSession, templates))
     same = (flat["wh"] == t["h"]) & _all(flat[f"w{j}"] == t[f"t{j}"] for j in range(K))
-    hits = flat.join(t, same).select("doc_id", "text_hash", "template", "label", "n_windows", "telling", "place", "word", (F.col("word") - F.col("place")).alias("diagonal"))
+    hits = flat.join(t, same).select("doc_id", "text_hash", "template", "label", "n_windows", "telling", "place", "word",
+        (F.col("word") - F.col("place")).alias("diagonal"))
     of = ["doc_id", "text_hash", "template", "label", "n_windows", "telling"]
     # equal rows give equal hits, which count once
     votes = hits.groupBy(*of, "diagonal").agg(F.collect_set(F.struct("word", "place")).alias("hits"))
@@ -166,7 +170,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     places = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]))
     base = base.select("doc_id", "text_hash", "n_words", places.alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"))
-    spans = vote(docs, templates).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("voted"), F.max("score").alias("share"), F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("spans"))
+    spans = vote(docs, templates).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("voted"), F.max("score").alias("share"),
+        F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("spans"))
     same = base["doc_id"].eqNullSafe(spans["doc_id"]) & (base["text_hash"] == spans["text_hash"])
     out = base.join(spans, same, "left").select(base["doc_id"], "n_words", "places", "base", "voted", "share", "spans")
     every = F.array_sort(F.array_union("base", F.coalesce("voted", F.array().cast("array<string>"))))

@@ -47,7 +47,11 @@ def jaccard_at_least(a: Column, b: Column, percent: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the least vertex that each vertex of ``edges`` (a, b) reaches. Alternates large-star and small-star steps until nothing changes; each state is stored, and the driver sees three numbers a round."""
+    """(v, root): the least vertex that each vertex of ``edges`` (a, b) reaches.
+
+    Alternates large-star and small-star steps until nothing changes; each state is stored, and the driver sees three
+    numbers a round.
+    """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def state(e):

@@ -57,7 +57,11 @@ def part_encoder(t: Tokenizer) -> Recent:
 
 
 def encode_ids(path: str, text: str | None) -> bytes:
-    """The little-endian 32-bit ids of a whole text as the library gives them, without special tokens of its own. No pre-token has white space in it or looks beyond itself, so the ids of a text are those of its space-separated parts in a row; each distinct part is encoded once while it's in the cache."""
+    """The little-endian 32-bit ids of a whole text as the library gives them, without special tokens of its own.
+
+    No pre-token has white space in it or looks beyond itself, so the ids of a text are those of its space-separated
+    parts in a row; each distinct part is encoded once while it's in the cache.
+    """
     if not text:
         return b""
     t, parts = only_held(("parts", path), lambda: (t := tokenizer(path), part_encoder(t)))

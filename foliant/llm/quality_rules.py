@@ -23,7 +23,8 @@ ROUNDS = 40
 BALANCE = 0.8
 #: What is expected counts as if so great a share of the documents had shown it: of a rule that never votes good more, since nothing but its warnings tells of it.
 PRIOR_SHARE, DEFECT_SHARE = 0.02, 0.5
-#: By class (1: good): what is expected before documents are seen of the probabilities of the votes 1, -1 and 0. A rule warns rarely of good documents; that most rules are content says little, since a bad document mostly breaks one.
+#: By class (1: good): what is expected before documents are seen of the probabilities of the votes 1, -1 and 0. A rule
+#: warns rarely of good documents; that most rules are content says little, since a bad document mostly breaks one.
 START = {1: (0.8, 0.01, 0.19), 0: (0.6, 0.3, 0.1)}
 #: (name, bad if, good if) over the columns of features(); neither: abstains. One rule a feature, as rules that read one
 #: count twice let one fact speak twice. Most look for one defect and never vote good: a text without it may have another.
@@ -48,7 +49,9 @@ def repeat_words(words: Column) -> Column:
     gram = lambda i: F.struct(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
     def covered(hashes: Column) -> Column:
-        return let(F.length(F.bin(m.cast("bigint"))), lambda bits: let(F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("bigint")))), lambda keys: spans(keys, bits)))
+        return let(F.length(F.bin(m.cast("bigint"))),
+            lambda bits: let(F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("bigint")))),
+                lambda keys: spans(keys, bits)))
 
     def spans(keys: Column, bits: Column) -> Column:
         place = lambda k: (k - F.call_function("shiftleft", F.call_function("shiftright", k, bits), bits)).cast("int")
@@ -71,7 +74,8 @@ def features(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFra
     """``keep`` and the counts of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_letters, n_visible. Null text has none of anything."""
     s = text_of(docs, text)
     of_words = let(words_of(s, f"[{BLANK}]+"), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
-    of_lines = let(F.filter(F.split(s, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0), lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
+    of_lines = let(F.filter(F.split(s, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0),
+        lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
     visible = F.translate(s, BLANK_CHARS, "")
     out = docs.select(
         *keep,

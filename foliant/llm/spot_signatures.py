@@ -43,7 +43,8 @@ def signatures(s: Column) -> Column:
     def spots(w):
         anchors = F.filter(F.transform(w, lambda x, i: F.when(stop(x), i)), lambda i: i.isNotNull())
         # of an anchor at word i, the j-th of all, i - j content words lie before it
-        return let(F.filter(w, lambda x: ~stop(x)), lambda c: F.filter(F.transform(anchors, lambda i, j: F.when(i - j + CHAIN <= F.size(c), F.xxhash64(F.get(w, i), *chain(c, i - j)))), lambda h: h.isNotNull()))
+        return let(F.filter(w, lambda x: ~stop(x)),
+            lambda c: F.filter(F.transform(anchors, lambda i, j: F.when(i - j + CHAIN <= F.size(c), F.xxhash64(F.get(w, i), *chain(c, i - j)))), lambda h: h.isNotNull()))
 
     def plain(w):
         n = F.size(w)
@@ -107,8 +108,10 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("s"), F.lit(1), n - half), F.substring(F.col("next.s"), F.lit(1), half))
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "a", F.col("next.a").alias("c"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "c", let(short(signatures(F.col("edited"))), lambda b: F.struct(fingerprint(b).alias("fp"), likeness(F.col("a"), b).alias("near"))).alias("e"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), F.col("e.fp").alias("edited_fingerprint"), F.col("e.near").alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "c",
+        let(short(signatures(F.col("edited"))), lambda b: F.struct(fingerprint(b).alias("fp"), likeness(F.col("a"), b).alias("near"))).alias("e"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), F.col("e.fp").alias("edited_fingerprint"),
+        F.col("e.near").alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -81,7 +81,8 @@ def merged(found: DataFrame) -> DataFrame:
     fresh = F.map_filter(F.coalesce("headers", none), lambda k, v: k.isin(*PERMITTED))
     old = F.map_filter(F.coalesce("response.headers", none), lambda k, v: ~F.map_contains_key(fresh, k))
     out = found.withColumn("outcome", outcome)
-    return out.select("record_id", "url_key", "ts", F.col("response.record_id").alias("response_id"), F.col("response.ts").alias("response_ts"), "outcome", F.when(F.col("outcome") == "resolved", F.map_concat(old, fresh)).alias("headers"))
+    return out.select("record_id", "url_key", "ts", F.col("response.record_id").alias("response_id"), F.col("response.ts").alias("response_ts"),
+        "outcome", F.when(F.col("outcome") == "resolved", F.map_concat(old, fresh)).alias("headers"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
