@@ -27,8 +27,10 @@ def extraction_prompt(chunks: DataFrame) -> Column:
     wanted = json.dumps({k: ["..."] for k in ENTITIES} | {SUMMARY: "..."}, ensure_ascii=False)
     head = "Trích xuất kiến thức từ đoạn sách giáo khoa dưới đây. Chỉ dùng nội dung có trong đoạn, sửa nhẹ lỗi OCR, giữ nguyên thẻ hình ảnh.\n"
     parts = [
-        F.lit(head + "Sách: "), text("book_id"), F.lit("\nBài: "), text("lesson_title"), F.lit("\nMục: "), text("section"), F.lit("\nYêu cầu cần đạt: "), listed("learning_objectives"),
-        F.lit("\nTrang: "), listed("pages"), F.lit(f"\nTrả về một đối tượng JSON như sau, mục không có thông tin là [] hoặc chuỗi rỗng:\n{wanted}\n\nĐoạn:\n"), text("markdown_content"),
+        F.lit(head + "Sách: "), text("book_id"), F.lit("\nBài: "), text("lesson_title"), F.lit("\nMục: "), text("section"),
+            F.lit("\nYêu cầu cần đạt: "), listed("learning_objectives"),
+        F.lit("\nTrang: "), listed("pages"),
+            F.lit(f"\nTrả về một đối tượng JSON như sau, mục không có thông tin là [] hoặc chuỗi rỗng:\n{wanted}\n\nĐoạn:\n"), text("markdown_content"),
     ]
     return F.concat(*parts)
 
@@ -75,7 +77,8 @@ def retrieve_context(items: DataFrame, queries: DataFrame, k: int = 3, reranker:
     w = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "rank")
     ordered = scored.withColumn("new", F.row_number().over(w))
     fine = F.col("relevance").isNull() | (F.col("relevance") >= LEAST_RELEVANCE) | (F.col("new") == 1)
-    best = ordered.where((F.col("new") <= k) & fine).select("query_id", "chunk_id", F.coalesce(F.round("relevance", 6), "score").alias("score"), F.col("new").alias("rank"))
+    best = ordered.where((F.col("new") <= k) & fine).select("query_id", "chunk_id", F.coalesce(F.round("relevance", 6), "score").alias("score"),
+        F.col("new").alias("rank"))
     return best.unionByName(named.where(~asked & (F.col("rank") <= k)).select("query_id", "chunk_id", "score", "rank"))
 
 
@@ -86,7 +89,8 @@ def expanded(hits: DataFrame, in_lesson: DataFrame, lessons: DataFrame, defines:
     """
     few = hits.select("chunk_id").distinct()
     concepts = defines.join(few, F.col("src") == F.col("chunk_id")).groupBy("chunk_id").agg(F.array_sort(F.collect_set("dst")).alias("concepts"))
-    named = in_lesson.select(F.col("src").alias("key"), F.col("dst").alias("chunk_id")).join(lessons.select("key", F.col("lesson_title").alias("lesson")), "key").drop("key")
+    named = in_lesson.select(F.col("src").alias("key"), F.col("dst").alias("chunk_id")).join(lessons.select("key",
+        F.col("lesson_title").alias("lesson")), "key").drop("key")
     out = hits.join(named, "chunk_id").join(concepts, "chunk_id", "left")
     return out.select(*hits.columns, "lesson", F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"))
 
@@ -99,7 +103,8 @@ def sources(records: DataFrame) -> DataFrame:
 
 
 CHECK = T.StructType(
-    [T.StructField("verdict", T.StringType()), T.StructField("is_faithful", T.BooleanType()), T.StructField("is_relevant", T.BooleanType()), T.StructField("issues", T.ArrayType(T.StringType())), T.StructField("skipped", T.BooleanType()), T.StructField("error", T.StringType())]
+    [T.StructField("verdict", T.StringType()), T.StructField("is_faithful", T.BooleanType()), T.StructField("is_relevant", T.BooleanType()),
+        T.StructField("issues", T.ArrayType(T.StringType())), T.StructField("skipped", T.BooleanType()), T.StructField("error", T.StringType())]
 )
 
 
@@ -151,5 +156,6 @@ def verification(v: Column, skipped: Column | None = None) -> Column:
     skip = F.coalesce(skipped, F.lit(False)) if skipped is not None else F.lit(False)
     said = F.when(~skip, R.verdict(v)).otherwise(F.lit("PASS"))
     none = F.array().cast("array<string>")
-    parts = [said.alias("verdict"), (skip | flag("is_faithful")).alias("is_faithful"), (skip | flag("is_relevant")).alias("is_relevant"), F.when(skip, none).otherwise(issues).alias("issues")]
+    parts = [said.alias("verdict"), (skip | flag("is_faithful")).alias("is_faithful"), (skip | flag("is_relevant")).alias("is_relevant"),
+        F.when(skip, none).otherwise(issues).alias("issues")]
     return F.struct(*parts, skip.alias("skipped"))

@@ -84,7 +84,8 @@ def lessons_of_pages(pages: DataFrame, toc: DataFrame, keep_outside: bool = True
     found = F.filter(F.col("__toc"), lambda t: F.col("page_number").between(t["pdf_start"], t["pdf_end"]))
     hit = F.get(found, F.lit(0))
     title = F.coalesce(hit["title"], F.lit(OUTSIDE_TITLE))
-    out = wide.select(*[pages[c] if not book else F.col(c) for c in pages.columns], F.coalesce(hit["lesson_id"], F.lit(OUTSIDE)).alias("lesson_id"), title.alias("lesson_title"))
+    out = wide.select(*[pages[c] if not book else F.col(c) for c in pages.columns], F.coalesce(hit["lesson_id"], F.lit(OUTSIDE)).alias("lesson_id"),
+        title.alias("lesson_title"))
     return out if keep_outside else out.where(F.col("lesson_id") != OUTSIDE)
 
 
@@ -165,7 +166,8 @@ def lesson_blocks(pages: DataFrame, keys: list[str], order: str, title: str) ->
     shown = F.exists("p.lines", lambda x: x != "")
     piece = F.struct(order, "p.section", F.array_join("p.lines", "\n").alias("text"))
     rows = rows.select(*keys, title, (F.col("__first") + F.col("p.k")).alias("block"), piece.alias("piece"), F.when(shown, F.col("page_number")).alias("page"))
-    blocks = rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.first(title).alias(title), F.array_sort(F.collect_set("page")).alias("pages"))
+    blocks = rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.first(title).alias(title),
+        F.array_sort(F.collect_set("page")).alias("pages"))
     head, text = F.get("pieces", F.lit(0)), X.strip_space(F.array_join(F.transform("pieces", lambda p: p["text"]), "\n"))
     blocks = blocks.select(*keys, title, "block", F.coalesce(head["section"], F.col(title)).alias("section"), text.alias("text"), "pages", head[order].alias("first"))
     return stored(blocks.where("text <> ''"), "blocks")
@@ -244,7 +246,8 @@ def replace_books(base: DataFrame, delta: DataFrame, key: str, sticky: list[str]
     """
     kept = base.select(F.col(key).alias("__key"), *sticky)
     new = delta.join(kept, F.col(key) == F.col("__key"), "left")
-    new = new.select(*[c if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns if c not in ("active", "replaced_by")], F.lit(True).alias("active"), F.lit(None).cast("string").alias("replaced_by"))
+    new = new.select(*[c if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns if c not in ("active",
+        "replaced_by")], F.lit(True).alias("active"), F.lit(None).cast("string").alias("replaced_by"))
     others = base.join(hinted(delta.select(F.col(book).alias("__book")).distinct()), F.col(book) == F.col("__book"), "left_anti")
     return new.unionByName(others.select(*new.columns))
 

@@ -72,7 +72,8 @@ def normalised(raw: Column) -> Column:
     simple = F.coalesce(simple, F.lit(False))
     read = F.from_json(raw, SCHEMA)
     none = F.array().cast("array<string>")
-    native = F.struct(*[F.coalesce(folded_unique(F.filter(read[k], lambda x: x.isNotNull())), none).alias(k) for k in ENTITIES], F.coalesce(X.strip_space(read[SUMMARY]), F.lit("")).alias(SUMMARY))
+    native = F.struct(*[F.coalesce(folded_unique(F.filter(read[k], lambda x: x.isNotNull())), none).alias(k) for k in ENTITIES],
+        F.coalesce(X.strip_space(read[SUMMARY]), F.lit("")).alias(SUMMARY))
     odd = _gathered_batch(F.when(~simple, F.coalesce(F.when(v.isNotNull(), raw), F.lit("null"))))
     return F.when(simple, native).otherwise(odd)
 

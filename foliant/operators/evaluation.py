@@ -45,7 +45,8 @@ def answered(rows: DataFrame, retrieved: DataFrame, answers: DataFrame) -> DataF
     j = rows.join(contexts, F.col("question_id") == F.col("query_id"), "left").drop("query_id")
     j = j.join(answers.select("query_id", F.col("answer").alias("__answer")), F.col("question_id") == F.col("query_id"), "left").drop("query_id")
     lacks = F.coalesce("answer", F.lit("")) == ""
-    j = j.withColumn("contexts", F.when(lacks, F.col("__contexts")).otherwise(F.col("contexts"))).withColumn("answer", F.when(lacks, F.col("__answer")).otherwise(F.col("answer")))
+    j = j.withColumn("contexts", F.when(lacks, F.col("__contexts")).otherwise(F.col("contexts"))).withColumn("answer",
+        F.when(lacks, F.col("__answer")).otherwise(F.col("answer")))
     return j.drop("__contexts", "__answer")
 
 
@@ -82,4 +83,5 @@ def next_step(message: Column, error_type: Column, in_a_row: Column) -> Column:
     step = lambda action, rest: F.struct(F.lit(action).alias("action"), F.lit(rest).alias("rest"))
     limited = F.lower(message).rlike(LIMITED)
     passing = F.coalesce(error_type.contains("Timeout"), F.lit(False)) | message.contains("Timeout")
-    return F.when(limited & (in_a_row >= TRIES), step("next_key", 0)).when(limited, step("again", SHORT_REST)).when(passing, step("again", PASSING_REST)).otherwise(step("give_up", PASSING_REST))
+    return F.when(limited & (in_a_row >= TRIES), step("next_key", 0)).when(limited, step("again", SHORT_REST)).when(passing,
+        step("again", PASSING_REST)).otherwise(step("give_up", PASSING_REST))

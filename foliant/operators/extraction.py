@@ -11,16 +11,20 @@ from foliant.functions import text as X
 
 #: The entity lists of a response with node label and edge type, and the words that mark errors, in order of priority.
 ENTITIES = {
-    "khai_niem_dinh_nghia": ("KhaiNiemV2", "DINH_NGHIA"), "cau_truc_chuc_nang": ("CauTrucChucNang", "MO_TA_CAU_TRUC_CHUC_NANG"), "co_che_qua_trinh": ("CoChe", "GIAI_THICH_CO_CHE"),
-    "thi_nghiem_chung_minh": ("ThiNghiem", "CHUNG_MINH_BANG_THI_NGHIEM"), "ung_dung_thanh_tuu": ("UngDung", "CO_UNG_DUNG_THUC_TIEN"), "y_nghia_sinh_hoc": ("YNghia", "MANG_Y_NGHIA_SINH_HOC"),
+    "khai_niem_dinh_nghia": ("KhaiNiemV2", "DINH_NGHIA"), "cau_truc_chuc_nang": ("CauTrucChucNang", "MO_TA_CAU_TRUC_CHUC_NANG"),
+        "co_che_qua_trinh": ("CoChe", "GIAI_THICH_CO_CHE"),
+    "thi_nghiem_chung_minh": ("ThiNghiem", "CHUNG_MINH_BANG_THI_NGHIEM"), "ung_dung_thanh_tuu": ("UngDung", "CO_UNG_DUNG_THUC_TIEN"),
+        "y_nghia_sinh_hoc": ("YNghia", "MANG_Y_NGHIA_SINH_HOC"),
 }
 SUMMARY = "tom_tat_cot_loi"
 #: The words in a message that mark an error, by kind in order of priority, and the types whose messages can be about JSON.
 QUOTA = ("429", "quota", "rate limit", "rate_limit", "ratelimit", "rate exceeded", "rateexceeded", "resource exhausted", "resource_exhausted", "resourceexhausted",
          "too many requests", "too_many_requests", "per minute", "per day", "free tier", "try again later")
-KEY = ("api key not valid", "api_key_invalid", "invalid api key", "invalid_api_key", "api key expired", "api key revoked", "authentication", "unauthenticated", "unauthorized",
+KEY = ("api key not valid", "api_key_invalid", "invalid api key", "invalid_api_key", "api key expired", "api key revoked", "authentication",
+    "unauthenticated", "unauthorized",
        "permission denied", "permission_denied", "forbidden", "403", "401")
-TRANSIENT = ("timeout", "deadline exceeded", "deadline_exceeded", "temporarily unavailable", "unavailable", "service unavailable", "internal server error", "connection reset",
+TRANSIENT = ("timeout", "deadline exceeded", "deadline_exceeded", "temporarily unavailable", "unavailable", "service unavailable",
+    "internal server error", "connection reset",
              "connection aborted", "connection refused", "remote disconnected", "dns", "ssl", "socket", "503", "504", "500", "502")
 JSON = ("json", "parse", "parser", "decode", "không hợp lệ", "response rỗng", "không có text hợp lệ", "không phải object")
 JSON_TYPES = ("JSONDecodeError", "ValueError", "TypeError")
@@ -74,7 +78,8 @@ def entity_lists(v: Column) -> Column:
         kind = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
         text = F.try_variant_get(v, f"$.{key}", "string")
         as_list = F.transform(F.try_variant_get(v, f"$.{key}", "array<variant>"), lambda x: x.try_cast("string"))
-        return F.when(kind.isNull() | (kind == "VOID"), F.array().cast("array<string>")).when(kind.startswith("ARRAY"), as_list).when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias(key)
+        return F.when(kind.isNull() | (kind == "VOID"), F.array().cast("array<string>")).when(kind.startswith("ARRAY"),
+            as_list).when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias(key)
 
     return F.struct(*[one(k) for k in ENTITIES], F.coalesce(F.try_variant_get(v, f"$.{SUMMARY}", "string"), F.lit("")).alias(SUMMARY))
 
@@ -86,7 +91,10 @@ def response_problem(s: Column) -> Column:
 
 
 def error_kind(message: Column, error_type: Column | None = None) -> Column:
-    """quota, key, transient, json or fatal by the words of an error's message, the first that fits. Errors are about JSON only if of a type in JSON_TYPES, where the type is given. A null message is fatal."""
+    """quota, key, transient, json or fatal by the words of an error's message, the first that fits.
+
+    Errors are about JSON only if of a type in JSON_TYPES, where the type is given. A null message is fatal.
+    """
     low = F.lower(message)
     has = lambda words: F.coalesce(low.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
     out = F.lit("fatal")
@@ -102,7 +110,8 @@ def error_summary(error_type: Column, message: Column, code: Column, status_code
     full = F.concat_ws(" ", F.concat(error_type, F.lit(": "), message), *[F.coalesce(c, F.lit("")) for c in (code, status_code, status, reason)])
     always = F.lit(True)
     other = ~status_code.eqNullSafe(code)
-    parts = [named("type", error_type, always), named("code", code, always), named("status_code", status_code, other), named("status", status, always), named("reason", reason, always)]
+    parts = [named("type", error_type, always), named("code", code, always), named("status_code", status_code, other),
+        named("status", status, always), named("reason", reason, always)]
     return F.concat_ws(" | ", *parts, F.concat(F.lit("message="), X.preview(X.redact(full, known=known), 800)))
 
 

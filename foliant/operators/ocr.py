@@ -69,8 +69,10 @@ def lines_of_lists(pages: DataFrame, keys: list[str], result: str) -> DataFrame:
     """
     whole = F.col(result)
     res = F.when(kind_of(field(whole, "res")) == "OBJECT", field(whole, "res")).otherwise(whole)
-    rows = pages.select(*keys, as_list(first_present(res, SCORES)).alias("__s"), as_list(first_present(res, BOXES)).alias("__b"), F.posexplode(as_list(first_present(res, TEXTS))).alias("ord", "__t"))
-    rows = rows.select(*keys, "ord", X.strip_space(F.col("__t").try_cast("string")).alias("text"), safe_score(F.get("__s", F.col("ord"))).alias("score"), F.get("__b", F.col("ord")).alias("bbox"))
+    rows = pages.select(*keys, as_list(first_present(res, SCORES)).alias("__s"), as_list(first_present(res, BOXES)).alias("__b"),
+        F.posexplode(as_list(first_present(res, TEXTS))).alias("ord", "__t"))
+    rows = rows.select(*keys, "ord", X.strip_space(F.col("__t").try_cast("string")).alias("text"),
+        safe_score(F.get("__s", F.col("ord"))).alias("score"), F.get("__b", F.col("ord")).alias("bbox"))
     return _lined(rows, keys)
 
 
@@ -79,12 +81,14 @@ def lines_of_rows(pages: DataFrame, keys: list[str], result: str) -> DataFrame:
     is_row = lambda v: (F.size(v.try_cast("array<variant>")) >= 2) & (kind_of(F.try_variant_get(v, "$[1][0]", "variant")) == "STRING")
     found = F.array(F.col(result))
     for _ in range(DEPTH):
-        opened = F.transform(found, lambda v: F.when(F.coalesce(is_row(v), F.lit(False)), F.array(v)).otherwise(F.coalesce(v.try_cast("array<variant>"), F.array().cast("array<variant>"))))
+        opened = F.transform(found, lambda v: F.when(F.coalesce(is_row(v), F.lit(False)),
+            F.array(v)).otherwise(F.coalesce(v.try_cast("array<variant>"), F.array().cast("array<variant>"))))
         found = F.flatten(opened)
     kept = F.filter(found, lambda v: F.coalesce(is_row(v), F.lit(False)))
     rows = pages.select(*keys, F.posexplode(kept).alias("ord", "__r"))
     part = lambda path, kind: F.try_variant_get(F.col("__r"), path, kind)
-    rows = rows.select(*keys, "ord", X.strip_space(part("$[1][0]", "string")).alias("text"), safe_score(part("$[1][1]", "variant")).alias("score"), part("$[0]", "variant").alias("bbox"))
+    rows = rows.select(*keys, "ord", X.strip_space(part("$[1][0]", "string")).alias("text"), safe_score(part("$[1][1]", "variant")).alias("score"),
+        part("$[0]", "variant").alias("bbox"))
     return _lined(rows, keys)
 
 
@@ -108,7 +112,8 @@ def image_lines(images: DataFrame, keys: list[str], dpi: int = 220) -> DataFrame
     zoom = dpi / 72
     rect = F.struct(*[(F.col(c) * zoom).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("left", "top", "right", "bottom"), strict=True)])
     text = F.concat(F.lit("![Hình ảnh minh hoạ]("), F.col("url"), F.lit(")"))
-    return images.select(*keys, (F.col("number") + F.lit(1_000_000)).alias("ord"), text.alias("text"), F.lit(1.0).alias("score"), rect.alias("rect"), F.lit(IMAGE_DETECTOR).alias("detector"))
+    return images.select(*keys, (F.col("number") + F.lit(1_000_000)).alias("ord"), text.alias("text"), F.lit(1.0).alias("score"), rect.alias("rect"),
+        F.lit(IMAGE_DETECTOR).alias("detector"))
 
 
 def image_name(page_number: Column, number: Column) -> Column:

@@ -152,4 +152,5 @@ def context(rows: DataFrame) -> DataFrame:
 def verdict(v: Column) -> Column:
     """Of a verifier's answer: flags default to true, an explicit verdict is trusted, none passes."""
     flag = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "boolean"), F.lit(True))
-    return F.when(v.isNull(), F.lit("PASS")).otherwise(F.coalesce(F.try_variant_get(v, "$.verdict", "string"), F.when(flag("is_faithful") & flag("is_relevant"), F.lit("PASS")).otherwise(F.lit("FAIL"))))
+    return F.when(v.isNull(), F.lit("PASS")).otherwise(F.coalesce(F.try_variant_get(v, "$.verdict", "string"),
+        F.when(flag("is_faithful") & flag("is_relevant"), F.lit("PASS")).otherwise(F.lit("FAIL"))))

@@ -43,7 +43,8 @@ def wait_message(seconds: float, since: Column) -> Column:
 def new_sessions(requests: DataFrame) -> DataFrame:
     """session_id, user_id, title, created_at, messages (none yet) for the requests (request_id, user_id, query, at) that name no session."""
     fresh = requests.where(F.coalesce("session_id", F.lit("")) == "")
-    return fresh.select("request_id", F.expr("uuid()").alias("session_id"), "user_id", title(F.col("query")).alias("title"), F.col("at").alias("created_at"), F.expr("cast(array() as array<struct<turn:bigint,role:string,text:string>>)").alias("messages"))
+    return fresh.select("request_id", F.expr("uuid()").alias("session_id"), "user_id", title(F.col("query")).alias("title"),
+        F.col("at").alias("created_at"), F.expr("cast(array() as array<struct<turn:bigint,role:string,text:string>>)").alias("messages"))
 
 
 def history(sessions: DataFrame, user: str) -> DataFrame:
@@ -89,4 +90,5 @@ def precision_at_k(verdicts: DataFrame) -> DataFrame:
     """(question_id, context_precision, context_recall) from verdicts 0/1 by rank."""
     so_far = F.sum("verdict").over(Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     at = verdicts.withColumn("p", so_far / F.col("rank"))
-    return at.groupBy("question_id").agg(F.round(F.sum(F.col("p") * F.col("verdict")) / F.nullif(F.sum("verdict"), F.lit(0)), 6).alias("context_precision"), F.round(F.avg("verdict"), 6).alias("context_recall"))
+    return at.groupBy("question_id").agg(F.round(F.sum(F.col("p") * F.col("verdict")) / F.nullif(F.sum("verdict"), F.lit(0)),
+        6).alias("context_precision"), F.round(F.avg("verdict"), 6).alias("context_recall"))

@@ -23,7 +23,8 @@ def me(users: DataFrame, super_email: str) -> DataFrame:
     """``users`` (uid, email, claims) with role, shown_email and granted: the super account is made admin where it isn't one, and is shown its role alone."""
     admin, special = is_admin(F.col("claims")), F.coalesce(F.lower("email") == super_email.lower(), F.lit(False))
     granted = special & ~admin
-    return users.select("uid", F.when(admin | special, F.lit("admin")).otherwise(F.lit("user")).alias("role"), F.when(~granted, F.coalesce("email", F.lit(""))).alias("shown_email"), granted.alias("granted"))
+    return users.select("uid", F.when(admin | special, F.lit("admin")).otherwise(F.lit("user")).alias("role"),
+        F.when(~granted, F.coalesce("email", F.lit(""))).alias("shown_email"), granted.alias("granted"))
 
 
 def protected(users: DataFrame, email: str) -> Column:

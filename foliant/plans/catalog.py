@@ -201,7 +201,8 @@ def concept_degree(spark, sf):
 
 
 def embed_pending(spark, sf):
-    return _docs(spark, sf).where(F.col("text") != "").select("doc_id", "n_chars").join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    return _docs(spark, sf).where(F.col("text") != "").select("doc_id", "n_chars").join(_t(spark, sf,
+        "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
 def _items(spark, sf):
@@ -272,13 +273,15 @@ def session_delete(spark, sf):
 
 def push_messages(spark, sf):
     c = _t(spark, sf, "conversations")
-    held = c.where("turn < 2 AND conv_id % 10 <> 3").groupBy(F.col("conv_id").alias("session_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    held = c.where("turn < 2 AND conv_id % 10 <> 3").groupBy(F.col("conv_id").alias("session_id")).agg(F.array_sort(F.collect_list(F.struct("turn",
+        "role", "text"))).alias("messages"))
     new = c.where("turn >= 2").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
     return S.push(held, new).select("session_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: m["text"]), "\n")).alias("hash"))
 
 
 def _users(spark, sf):
-    return _t(spark, sf, "customer").select("c_custkey", F.concat(F.regexp_replace("c_name", "#", "."), F.lit("@Example.com")).alias("email"), F.lit("user").alias("role"), F.coalesce(F.col("c_acctbal") < 0, F.lit(False)).alias("disabled"))
+    return _t(spark, sf, "customer").select("c_custkey", F.concat(F.regexp_replace("c_name", "#", "."), F.lit("@Example.com")).alias("email"),
+        F.lit("user").alias("role"), F.coalesce(F.col("c_acctbal") < 0, F.lit(False)).alias("disabled"))
 
 
 def user_search(spark, sf):
@@ -296,7 +299,8 @@ def role_update(spark, sf):
 
 def source_title(spark, sf):
     pages = F.array_join(F.array(F.col("doc_id") % 210, F.col("doc_id") % 210 + 1), ", ")
-    return _docs(spark, sf).select("doc_id", F.concat(F.lit("Nguồn "), F.col("doc_id").cast("string"), F.lit(": "), F.col("source"), F.when(F.col("lang") != "en", F.concat(F.lit(" - "), F.col("lang"))).otherwise(F.lit("")), F.lit(" (Trang "), pages, F.lit(")")).alias("title"))
+    return _docs(spark, sf).select("doc_id", F.concat(F.lit("Nguồn "), F.col("doc_id").cast("string"), F.lit(": "), F.col("source"),
+        F.when(F.col("lang") != "en", F.concat(F.lit(" - "), F.col("lang"))).otherwise(F.lit("")), F.lit(" (Trang "), pages, F.lit(")")).alias("title"))
 
 
 def eval_precision_recall(spark, sf):
@@ -305,12 +309,14 @@ def eval_precision_recall(spark, sf):
 
 
 def eval_summary(spark, sf):
-    return eval_precision_recall(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("context_precision"), 4).alias("context_precision"), F.round(F.avg("context_recall"), 4).alias("context_recall"))
+    return eval_precision_recall(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("context_precision"), 4).alias("context_precision"),
+        F.round(F.avg("context_recall"), 4).alias("context_recall"))
 
 
 def eval_resume(spark, sf):
     old = _t(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.lit("ERROR")).otherwise(F.lit("DONE")).alias("status"))
-    return _docs(spark, sf).select("doc_id").join(old, "doc_id", "left").where(~F.col("status").eqNullSafe("DONE")).select("doc_id", F.coalesce("status", F.lit("PENDING")).alias("status"))
+    return _docs(spark, sf).select("doc_id").join(old, "doc_id", "left").where(~F.col("status").eqNullSafe("DONE")).select("doc_id",
+        F.coalesce("status", F.lit("PENDING")).alias("status"))
 
 
 NAMES = """html_comment_strip page_marker_split reading_order page_confidence toc_interval_join out_of_toc_pages section_headings accent_fold

@@ -64,7 +64,8 @@ def ocr_rows(spark, sf):
         x, y = (c.cast("string") for c in _place(i))
         x2, y2 = ((c + d).cast("string") for c, d in zip(_place(i), (10, 9), strict=True))
         pair = F.regexp_replace(F.to_json(F.array(t)), r"\]$", "")
-        return F.concat(F.lit("[[["), x, F.lit(","), y, F.lit("],["), x2, F.lit(","), y, F.lit("],["), x2, F.lit(","), y2, F.lit("]],"), pair, F.lit(","), _score(i).cast("string"), F.lit("]]"))
+        return F.concat(F.lit("[[["), x, F.lit(","), y, F.lit("],["), x2, F.lit(","), y, F.lit("],["), x2, F.lit(","), y2, F.lit("]],"), pair,
+            F.lit(","), _score(i).cast("string"), F.lit("]]"))
 
     result = F.concat(F.lit("[["), F.array_join(F.transform(F.split("text", "\n"), row), ","), F.lit("]]"))
     return _page(O.lines_of_rows(_docs(spark, sf).select("doc_id", F.parse_json(result).alias("r")), ["doc_id"], "r"))
@@ -78,7 +79,8 @@ def page_images(spark, sf):
     pages = _docs(spark, sf).select("doc_id", F.parse_json(F.to_json(result)).alias("r"))
     point = lambda v: F.lit(v * 72 / 220)
     url = F.concat(F.lit("/img/"), O.image_name(F.col("doc_id").cast("int"), F.lit(1)))
-    images = _docs(spark, sf).where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("number"), url.alias("url"), point(0.0).alias("x0"), point(15.0).alias("y0"), point(5.0).alias("x1"), point(20.0).alias("y1"))
+    images = _docs(spark, sf).where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("number"), url.alias("url"), point(0.0).alias("x0"),
+        point(15.0).alias("y0"), point(5.0).alias("x1"), point(20.0).alias("y1"))
     out = O.pages_of(O.lines_of_lists(pages, ["doc_id"], "r"), ["doc_id"], O.image_lines(images, ["doc_id"]))
     return out.select("doc_id", F.md5("text").alias("hash"), "avg_confidence")
 
@@ -88,11 +90,13 @@ def box_kinds(spark, sf):
     n = F.col("event_id").cast("string")
     x, y, x2, y2 = ((F.col("event_id") * a % b).cast("string") for a, b in ((7, 60), (11, 50), (13, 60), (17, 50)))
     join = lambda *c: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in c])
-    forms = [join('{"x1":', x, ',"y1":', y, ',"x2":', x2, ',"y2":', y2, "}"), join("[", x, ",", y, ",", x2, ",", y2, "]"), join("[[", x, ",", y, "],[", x2, ",", y2, "]]"), join('{"x1":', n, "}"), F.lit('"none"')]
+    forms = [join('{"x1":', x, ',"y1":', y, ',"x2":', x2, ',"y2":', y2, "}"), join("[", x, ",", y, ",", x2, ",", y2, "]"),
+        join("[[", x, ",", y, "],[", x2, ",", y2, "]]"), join('{"x1":', n, "}"), F.lit('"none"')]
     kind = (F.col("event_id") % len(forms)).cast("int")
     rect = O.rect_of(F.parse_json(F.get(F.array(*forms), kind)))
     rows = _t(spark, sf, "events").select("event_id", rect.alias("r")).select("event_id", "r", B.crop(F.col("r"), F.lit(60), F.lit(50)).alias("c"))
-    return rows.select("event_id", *[F.col(f"r.{s}").alias(s) for s in ("left", "top", "right", "bottom")], F.col("c.left").cast("int").alias("crop_left"), F.col("c.bottom").cast("int").alias("crop_bottom"))
+    return rows.select("event_id", *[F.col(f"r.{s}").alias(s) for s in ("left", "top", "right", "bottom")],
+        F.col("c.left").cast("int").alias("crop_left"), F.col("c.bottom").cast("int").alias("crop_bottom"))
 
 
 def line_fallback(spark, sf):
@@ -137,7 +141,8 @@ def entity_normalise(spark, sf):
         F.lit("not json"),
     ]
     rows = _t(spark, sf, "events").select("event_id", G.normalised(F.get(F.array(*forms), (F.col("event_id") % len(forms)).cast("int"))).alias("n"))
-    return rows.select("event_id", *[F.array_join(f"n.{c}", "|").alias(c) for c in ("khai_niem_dinh_nghia", "co_che_qua_trinh")], F.col(f"n.{E.SUMMARY}").alias("summary"))
+    return rows.select("event_id", *[F.array_join(f"n.{c}", "|").alias(c) for c in ("khai_niem_dinh_nghia", "co_che_qua_trinh")],
+        F.col(f"n.{E.SUMMARY}").alias("summary"))
 
 
 def _chunks(spark, sf):
@@ -146,7 +151,8 @@ def _chunks(spark, sf):
     body = F.to_json(F.struct(words.alias("khai_niem_dinh_nghia"), F.array("lang").alias("co_che_qua_trinh"), F.lit("").alias(E.SUMMARY)))
     lesson = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("l"), (F.col("doc_id") % 7).cast("string")))
     return _docs(spark, sf).select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("book_id"), lesson.alias("lesson_id"), F.concat(F.lit("Lesson "), F.col("lang")).alias("lesson_title"),
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("book_id"), lesson.alias("lesson_id"),
+            F.concat(F.lit("Lesson "), F.col("lang")).alias("lesson_title"),
         F.col("doc_id").cast("int").alias("global_chunk_index"), F.col("n_chars").alias("lesson_page_start"), G.normalised(body).alias("entities"),
     )
 
@@ -163,8 +169,10 @@ def _queued(spark, sf):
     flag = lambda n: F.when(F.col("doc_id") % n == 0, F.lit(True)).when(F.col("doc_id") % n == 1, F.lit(False))
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     return _docs(spark, sf).select(
-        F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("doc_id").cast("int").alias("global_chunk_index"), (F.col("doc_id") % 4 == 0).alias("api_refined"), (F.col("doc_id") % 6 != 0).alias("active"),
-        flag(3).alias("neo4j_synced"), F.col("lang").alias("markdown_content"), *none("extracted_entities", "refined_at", "refinement_model", "phase3_status", "phase3_error", "phase3_error_type", "phase3_error_at"),
+        F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("doc_id").cast("int").alias("global_chunk_index"),
+            (F.col("doc_id") % 4 == 0).alias("api_refined"), (F.col("doc_id") % 6 != 0).alias("active"),
+        flag(3).alias("neo4j_synced"), F.col("lang").alias("markdown_content"), *none("extracted_entities", "refined_at", "refinement_model",
+            "phase3_status", "phase3_error", "phase3_error_type", "phase3_error_at"),
         *none("neo4j_synced_at", "phase4_status", "phase4_error", "phase4_error_at"),
     )
 
@@ -228,14 +236,22 @@ def embed_run(spark, sf):
 
 #: One message for each word that marks an error, and some that name more than one kind or none.
 MESSAGES = {
-    "HTTP 429": "quota", "your quota is used up": "quota", "Rate limit hit": "quota", "rate_limit": "quota", "RateLimit": "quota", "rate exceeded": "quota", "RateExceeded": "quota", "Resource exhausted": "quota",
-    "RESOURCE_EXHAUSTED": "quota", "ResourceExhausted": "quota", "Too Many Requests": "quota", "too_many_requests": "quota", "5 per minute": "quota", "50 per day": "quota", "free tier only": "quota", "Try again later": "quota",
-    "API key not valid": "key", "API_KEY_INVALID": "key", "Invalid API key": "key", "invalid_api_key": "key", "API key expired": "key", "api key revoked": "key", "authentication failed": "key", "UNAUTHENTICATED": "key",
-    "Unauthorized": "key", "Permission denied": "key", "PERMISSION_DENIED": "key", "Forbidden": "key", "code 403": "key", "code 401": "key", "api key loaded, 503": "transient", "api key loaded": "fatal",
-    "read timeout": "transient", "Deadline exceeded": "transient", "DEADLINE_EXCEEDED": "transient", "temporarily unavailable": "transient", "Unavailable": "transient", "Service Unavailable": "transient",
-    "Internal Server Error": "transient", "connection reset by peer": "transient", "connection aborted": "transient", "Connection refused": "transient", "remote disconnected": "transient", "DNS failure": "transient",
-    "SSL: bad handshake": "transient", "socket closed": "transient", "503": "transient", "504": "transient", "500": "transient", "502": "transient", "connection lost": "fatal",
-    "bad JSON": "json", "can't parse": "json", "parser stopped": "json", "decode error": "json", "JSON không hợp lệ": "json", "response rỗng": "json", "không có text hợp lệ": "json", "không phải object": "json",
+    "HTTP 429": "quota", "your quota is used up": "quota", "Rate limit hit": "quota", "rate_limit": "quota", "RateLimit": "quota",
+        "rate exceeded": "quota", "RateExceeded": "quota", "Resource exhausted": "quota",
+    "RESOURCE_EXHAUSTED": "quota", "ResourceExhausted": "quota", "Too Many Requests": "quota", "too_many_requests": "quota", "5 per minute": "quota",
+        "50 per day": "quota", "free tier only": "quota", "Try again later": "quota",
+    "API key not valid": "key", "API_KEY_INVALID": "key", "Invalid API key": "key", "invalid_api_key": "key", "API key expired": "key",
+        "api key revoked": "key", "authentication failed": "key", "UNAUTHENTICATED": "key",
+    "Unauthorized": "key", "Permission denied": "key", "PERMISSION_DENIED": "key", "Forbidden": "key", "code 403": "key", "code 401": "key",
+        "api key loaded, 503": "transient", "api key loaded": "fatal",
+    "read timeout": "transient", "Deadline exceeded": "transient", "DEADLINE_EXCEEDED": "transient", "temporarily unavailable": "transient",
+        "Unavailable": "transient", "Service Unavailable": "transient",
+    "Internal Server Error": "transient", "connection reset by peer": "transient", "connection aborted": "transient",
+        "Connection refused": "transient", "remote disconnected": "transient", "DNS failure": "transient",
+    "SSL: bad handshake": "transient", "socket closed": "transient", "503": "transient", "504": "transient", "500": "transient", "502": "transient",
+        "connection lost": "fatal",
+    "bad JSON": "json", "can't parse": "json", "parser stopped": "json", "decode error": "json", "JSON không hợp lệ": "json", "response rỗng": "json",
+        "không có text hợp lệ": "json", "không phải object": "json",
     "JSON after 429": "quota", "403 and 503": "key", "timeout in parser": "transient", "odd": "fatal", "": "fatal",
 }
 
@@ -297,7 +313,8 @@ SQL |= {
 
 def _book_pages(spark, sf):
     text = X.strip_space(X.strip_comments(F.col("text")))
-    return _docs(spark, sf).select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("page_number"), text.alias("text"), (F.col("doc_id") % 100 / 100.0).alias("avg_confidence"))
+    return _docs(spark, sf).select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("page_number"), text.alias("text"),
+        (F.col("doc_id") % 100 / 100.0).alias("avg_confidence"))
 
 
 def markdown_roundtrip(spark, sf):
@@ -353,16 +370,19 @@ def query_escape(spark, sf):
 
 def verification(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
-    body = F.when(k % 4 == 0, F.lit('{"is_faithful":false,"issues":["a","b"]}')).when(k % 4 == 1, F.lit('{"is_relevant":false,"verdict":"PASS"}')).when(k % 4 == 2, F.lit("{}"))
+    body = F.when(k % 4 == 0, F.lit('{"is_faithful":false,"issues":["a","b"]}')).when(k % 4 == 1,
+        F.lit('{"is_relevant":false,"verdict":"PASS"}')).when(k % 4 == 2, F.lit("{}"))
     v = A.verification(F.try_parse_json(body), F.col("event_id") % 9 == 0)
-    return _t(spark, sf, "events").select("event_id", v.alias("v")).select("event_id", "v.verdict", "v.is_faithful", "v.is_relevant", F.array_join("v.issues", ",").alias("issues"), "v.skipped")
+    return _t(spark, sf, "events").select("event_id", v.alias("v")).select("event_id", "v.verdict", "v.is_faithful", "v.is_relevant",
+        F.array_join("v.issues", ",").alias("issues"), "v.skipped")
 
 
 def _users(spark, sf):
     k = F.col("c_custkey")
     claim = lambda n, v: F.create_map(F.lit(n), F.lit(v))
     claims = F.when(k % 10 == 0, claim("admin", "true")).when(k % 50 == 7, claim("role", "super_admin")).when(k % 3 == 0, claim("admin", "false"))
-    return _t(spark, sf, "customer").select(k.alias("uid"), F.concat(F.lit("U"), k.cast("string"), F.lit("@example.com")).alias("email"), (k % 4 == 0).alias("disabled"), claims.alias("claims"))
+    return _t(spark, sf, "customer").select(k.alias("uid"), F.concat(F.lit("U"), k.cast("string"), F.lit("@example.com")).alias("email"),
+        (k % 4 == 0).alias("disabled"), claims.alias("claims"))
 
 
 def token_check(spark, sf):
@@ -388,7 +408,8 @@ def user_status(spark, sf):
 
 def user_super(spark, sf):
     out = U.make_super(_users(spark, sf), "U20@example.com").where("uid IN (10, 20, 21)")
-    return out.select("uid", F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("claims", F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("claims"))
+    return out.select("uid", F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("claims", F.create_map().cast("map<string,string>")))),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("claims"))
 
 
 def user_list(spark, sf):
@@ -427,14 +448,17 @@ def eval_metrics(spark, sf):
     q = F.floor(F.col("doc_id") / 10).cast("long").alias("question_id")
     contexts = labels.select(q, F.col("quality").alias("verdict"), F.expr("row_number() over (partition by floor(doc_id / 10) order by doc_id)").alias("rank"))
     made = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("made"))
-    pairs = e.select("vec_id", F.col("embedding").alias("vector")).join(made, "vec_id").select(F.floor(F.col("vec_id") / 10).cast("long").alias("question_id"), "vector", "made")
-    return V.metrics(contexts, labels.select(q, (F.col("toxic") == 0).alias("supported")), labels.where("doc_id % 2 = 0").select(q, (F.col("quality") == 1).alias("supported")), pairs)
+    pairs = e.select("vec_id", F.col("embedding").alias("vector")).join(made,
+        "vec_id").select(F.floor(F.col("vec_id") / 10).cast("long").alias("question_id"), "vector", "made")
+    return V.metrics(contexts, labels.select(q, (F.col("toxic") == 0).alias("supported")),
+        labels.where("doc_id % 2 = 0").select(q, (F.col("quality") == 1).alias("supported")), pairs)
 
 
 def eval_open_cells(spark, sf):
     b = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("question"), "item_id")
     cell = lambda n: F.when(F.col("item_id") % n == 0, F.lit(0.5))
-    old = b.where("item_id % 4 <> 1").select("question", F.lit("a").alias("answer"), F.array(F.lit("c")).alias("contexts"), *[cell(n).alias(m) for n, m in enumerate(V.METRICS, 2)], F.when(F.col("item_id") % 5 == 0, F.lit("DONE")).otherwise(F.lit("ERROR")).alias("status"))
+    old = b.where("item_id % 4 <> 1").select("question", F.lit("a").alias("answer"), F.array(F.lit("c")).alias("contexts"),
+        *[cell(n).alias(m) for n, m in enumerate(V.METRICS, 2)], F.when(F.col("item_id") % 5 == 0, F.lit("DONE")).otherwise(F.lit("ERROR")).alias("status"))
     return V.open_cells(V.resumed(b.drop("item_id"), old))
 
 

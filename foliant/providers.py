@@ -57,7 +57,8 @@ class StopRequested(RuntimeError):
 
 def kind_of_error(error: Exception) -> str:
     """quota, key, transient, json or fatal: error_kind() for an exception here."""
-    low = re.sub(X.API_KEY, X.REDACTED_KEY, " ".join(map(str, [f"{type(error).__name__}: {error}", *(getattr(error, a, "") or "" for a in ("code", "status_code", "status", "reason"))]))).lower()
+    low = re.sub(X.API_KEY, X.REDACTED_KEY,
+        " ".join(map(str, [f"{type(error).__name__}: {error}", *(getattr(error, a, "") or "" for a in ("code", "status_code", "status", "reason"))]))).lower()
     for kind, words in E.ERRORS.items():
         if any(w in low for w in words) and (kind != "json" or isinstance(error, (ValueError, TypeError))):
             return kind
@@ -186,10 +187,12 @@ def by_batches(rows: DataFrame, keep: list[str], start: Callable[[], Callable],
     return src.mapInArrow(run, schema)
 
 
-RESULT = [T.StructField("status", T.StringType()), T.StructField("entities", T.StringType()), T.StructField("error", T.StringType()), T.StructField("error_type", T.StringType())]
+RESULT = [T.StructField("status", T.StringType()), T.StructField("entities", T.StringType()), T.StructField("error", T.StringType()),
+    T.StructField("error_type", T.StringType())]
 
 
-def enrich(prompts: DataFrame, make: Callable[[str], LanguageModel], keys: list[str], again: Callable[[str, str, Exception], str], retries: Retries | None = None, skip_unreadable: bool = True, ring: dict | None = None) -> DataFrame:
+def enrich(prompts: DataFrame, make: Callable[[str], LanguageModel], keys: list[str], again: Callable[[str, str, Exception], str],
+    retries: Retries | None = None, skip_unreadable: bool = True, ring: dict | None = None) -> DataFrame:
     """chunk_id, status (done, json_error_skipped, error), entities (JSON), error, error_type of every row of ``prompts`` (chunk_id, prompt).
 
     ``make`` gives the model for a key. Each task has its own ring of keys. A key whose quota is spent or that is refused
@@ -229,7 +232,8 @@ def enrich(prompts: DataFrame, make: Callable[[str], LanguageModel], keys: list[
 
 def normal(value: dict) -> dict:
     """A response with its lists as lists and its summary as text; other fields as they are."""
-    listed = lambda v: v if isinstance(v, list) else [] if v is None or v == "" or isinstance(v, str) and not v.strip() else [v if isinstance(v, str) else str(v)]
+    listed = lambda v: v if isinstance(v, list) else [] if v is None or v == "" or isinstance(v,
+        str) and not v.strip() else [v if isinstance(v, str) else str(v)]
     summary = value.get(E.SUMMARY)
     return value | {k: listed(value.get(k)) for k in E.ENTITIES} | {E.SUMMARY: "" if summary is None else str(summary)}
 

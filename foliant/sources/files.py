@@ -13,7 +13,8 @@ from foliant.functions import text as X
 
 #: Schemas of the JSON files. Boxes are variants, as engines differ.
 LINE = "text string, score double, bbox variant, detector string, recognizer string, paddle_text string"
-PAGE = f"page_number int, page_index int, text string, avg_confidence double, ocr_engine string, lines array<struct<{', '.join(f.replace(' ', ': ', 1) for f in LINE.split(', '))}>>"
+PAGE = f"page_number int, page_index int, text string, avg_confidence double, ocr_engine string, lines array<struct<{', '.join(f.replace(' ', ': ',
+    1) for f in LINE.split(', '))}>>"
 BOOK = "book_id string, ocr_engine string, ocr_mode string, ocr_lang string, ocr_version string, vietocr_config string, status string, updated_at string, completed_pages int, total_pages int"
 LESSON = (
     "book_id string, grade int, lesson_id string, lesson_title string, lesson_page_start int, lesson_page_end int, source_level string, "
@@ -21,7 +22,8 @@ LESSON = (
 )
 BOM = "﻿"
 #: Header comments of a book's markdown, in order, and the columns they show.
-HEADER = {"OCR_ENGINE": "ocr_engine", "OCR_MODE": "ocr_mode", "OCR_LANG": "ocr_lang", "OCR_VERSION": "ocr_version", "BOOK_ID": "book_id", "CHECKPOINT_UPDATED_AT": "updated_at"}
+HEADER = {"OCR_ENGINE": "ocr_engine", "OCR_MODE": "ocr_mode", "OCR_LANG": "ocr_lang", "OCR_VERSION": "ocr_version", "BOOK_ID": "book_id",
+    "CHECKPOINT_UPDATED_AT": "updated_at"}
 
 
 def _typed(schema: str) -> str:
@@ -107,7 +109,8 @@ def read_toc(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """book_id, lesson_id, pdf_start, pdf_end, title, ord of tables of contents, an object by lesson each, named after their book. Rows without whole numbers and a title go."""
     rows = _by_name(spark, path, glob, "struct<pdf_start: string, pdf_end: string, title: string>")
     number = lambda c: F.expr(f"try_cast(v.{c} AS int)")
-    out = rows.select(F.col("file").alias("book_id"), F.col("name").alias("lesson_id"), number("pdf_start").alias("pdf_start"), number("pdf_end").alias("pdf_end"), "v.title", F.col("ord").cast("int").alias("ord"))
+    out = rows.select(F.col("file").alias("book_id"), F.col("name").alias("lesson_id"), number("pdf_start").alias("pdf_start"),
+        number("pdf_end").alias("pdf_end"), "v.title", F.col("ord").cast("int").alias("ord"))
     return out.where("pdf_start IS NOT NULL AND pdf_end IS NOT NULL AND title IS NOT NULL")
 
 
