@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliant import storage
 from foliant.llm import common, language_id, license_scan, minhash, packing, quality_rules, sentence_pieces, spot_signatures, token_counts, url_filter, warc
 
 WORDS = [f"word{i}" for i in range(60)]
@@ -98,8 +99,8 @@ def test_foreign_languages_and_scripts_are_rejected(spark, sf_dir):
 
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_hot_keys_join_as_others(spark, monkeypatch, limit):
-    monkeypatch.setattr(common, "HOT", 50)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(storage, "HOT", 50)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", limit)
     big = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") % 97).alias("k"), "id")
     small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")).where("k <> 5")
     got = sorted(map(tuple, common.joined(big, small, ["k"], "n").collect()))
@@ -109,7 +110,7 @@ def test_hot_keys_join_as_others(spark, monkeypatch, limit):
 
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HOT", 20)
-    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(storage, "HOT", 20)
     edges = [(500, x) for x in range(501, 600)] + [(i, i + 1) for i in range(40)] + [(599, 40)]
     got = {r.v: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in [*range(41), *range(500, 600)]}
@@ -160,12 +161,12 @@ def test_near_miss_notices(spark):
 def test_intermediate_tables_are_removed(spark, tmp_path):
     import os
 
-    before = list(common._made)
+    before = list(storage._made)
     with common.scratch_scope(spark):
         out = common.stored(spark.range(3), "x")
         path = out._foliant_path
         assert out.count() == 3 and os.path.exists(path)
-    assert not os.path.exists(path) and common._made == before
+    assert not os.path.exists(path) and storage._made == before
 
 
 def test_a_cluster_must_name_a_shared_folder():
