@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from foliant.functions.text import let  # noqa: F401
-from foliant.storage import HOT, hinted, joined, release, scratch_path, scratch_scope, stored  # noqa: F401
+from foliant.storage import hinted, joined, release, scratch_path, scratch_scope, stored  # noqa: F401
 
 #: The white space of the contracts (space and U+0009 to U+000D) as a regular expression class body.
 BLANK = r"\x20\x09-\x0D"

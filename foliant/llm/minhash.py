@@ -22,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BLANK, BLANK_CHARS, HOT, ascii_lower, hinted, joined, let, release, shingle_hashes, stored, text_of, words_of
+from foliant.llm.common import BLANK, BLANK_CHARS, ascii_lower, hinted, joined, let, release, shingle_hashes, stored, text_of, words_of
 
 SKETCH, KEYS, EXTRA = 24, 12, 6
+#: From so many links of one class on, what meets it is split over tasks.
+HUB = 65_536
 #: A list longer than this is a long one.
 LONG = 40
 #: Sketch hashes out of SKETCH of the union that must be common. At a true likeness of 0.8 a pair stays below with a probability of 1e-9.
@@ -63,6 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
         """Each vertex links its neighbours (the larger ones, or itself and the smaller ones) to the least of them."""
         near = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+        least = stored(least, "least") if hub else least
         out = joined(near, least, ["a"], "degree") if hub else near.join(least.drop("degree"), "a")
         if large:
             out = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -73,7 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = state(now)
     while seen[0]:
-        hub = seen[2] > HOT
+        hub = seen[2] > HUB
         # the join of hubs looks at its input, which must then be stored and not computed again
         half = stored(star(now, True, hub), "edges") if hub else star(now, True, hub)
         new = stored(star(half, False, hub), "edges")

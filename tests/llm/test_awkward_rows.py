@@ -109,7 +109,7 @@ def test_hot_keys_join_as_others(spark, monkeypatch, limit):
 
 
 def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "HOT", 20)
+    monkeypatch.setattr(minhash, "HUB", 20)
     monkeypatch.setattr(storage, "HOT", 20)
     edges = [(500, x) for x in range(501, 600)] + [(i, i + 1) for i in range(40)] + [(599, 40)]
     got = {r.v: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
