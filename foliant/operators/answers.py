@@ -52,7 +52,8 @@ def answer_prompt(context: str, query: str, issues: list[str] | None = None) ->
 
 def check_prompt(context: str, query: str, answer: str) -> str:
     wanted = '{"is_faithful": true, "is_relevant": true, "issues": [], "verdict": "PASS"}'
-    return f"Kiểm tra câu trả lời: mọi khẳng định phải có trong tài liệu và đúng trọng tâm câu hỏi. Từ chối hợp lệ là PASS.\nTrả về JSON như {wanted}\n\nTài liệu:\n{context}\nCâu hỏi:\n{query}\n\nCâu trả lời:\n{answer}"
+    rules = "Kiểm tra câu trả lời: mọi khẳng định phải có trong tài liệu và đúng trọng tâm câu hỏi. Từ chối hợp lệ là PASS."
+    return f"{rules}\nTrả về JSON như {wanted}\n\nTài liệu:\n{context}\nCâu hỏi:\n{query}\n\nCâu trả lời:\n{answer}"
 
 
 def escaped(query: Column) -> Column:
