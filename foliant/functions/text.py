@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,11 +80,22 @@ def pages_label(pages: Column) -> Column:
 _FOLDS = {c: c.casefold() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1F000)]) if c.casefold() != c.lower() or c == "Σ"}
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """A class of a pattern, neighbours as ranges: every single member of a class costs a comparison for each character read."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        runs = [*runs[:-1], [runs[-1][0], c]] if runs and runs[-1][1] == c - 1 else [*runs, [c, c]]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_FOLDED = _ranges(_FOLDS)
+
+
 def casefold(s: Column) -> Column:
-    """Unicode case folding, as ß to ss. Most texts have none of the characters that lower() treats otherwise."""
+    """Unicode case folding, as ß to ss. ASCII takes the short way; most other texts have none of the characters that lower() treats otherwise."""
     table = F.create_map(*[F.lit(x) for pair in _FOLDS.items() for x in pair])
     each = F.transform(F.regexp_extract_all(s, F.lit(r"(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
-    return F.when(s.rlike(f"[{''.join(_FOLDS)}]"), F.array_join(each, "")).otherwise(F.lower(s))
+    return F.when((F.octet_length(s) > F.char_length(s)) & s.rlike(_FOLDED), F.array_join(each, "")).otherwise(F.lower(s))
 
 
 def preview(s: Column, limit: int) -> Column:
