@@ -5,8 +5,14 @@ from __future__ import annotations
 import random
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from foliant.operators import nearest
 
 K1, B, RRF = 1.2, 0.75, 60
 #: So many queries' vectors travel to the items at once; more go in rounds.
@@ -35,19 +41,44 @@ def top_k(scored: DataFrame, k: int, item: str) -> DataFrame:
 def vector_search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine, exact.
 
-    The stated queries travel in one broadcast array of at most QUERIES_AT_ONCE vectors to all items, in as many rounds as
-    it takes; no item meets another. Norms are taken once a vector. Vectors that are null, of no length or of another
-    size than the query's have no score and aren't found. For a search that reads few of the items see near_buckets().
+    The stated queries travel, at most QUERIES_AT_ONCE vectors at a time, to all items, in as many rounds as it takes; no
+    item meets another. Tasks hold blocks of items against blocks of queries, and of each query the best so far: products
+    of matrices leave the pairs whose scores may count, and those are summed one by one. Vectors that are null, of no
+    length or of another size than the query's have no score and aren't found. For a search that reads few of the items
+    see near_buckets().
     """
+    spark = items.sparkSession
+    held = items.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     rounds = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    lengthy = lambda df, v, *keep: df.select(*keep, doubles(F.col(v)).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
-    held, asked = lengthy(items, "embedding", "chunk_id"), lengthy(queries, "vector", "query_id")
+    found = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", held.schema["chunk_id"].dataType),
+        T.StructField("score", T.DoubleType())])
 
     def scores(part):
-        block = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "v", "norm")).alias("qs")))
-        pairs = held.join(block, F.lit(True)).select("chunk_id", "v", "norm", F.explode("qs").alias("q"))
-        score = F.when(F.size("v") == F.size("q.v"), dot(F.col("v"), F.col("q.v")) / (F.col("norm") * F.col("q.norm")))
-        return pairs.select(F.col("q.query_id").alias("query_id"), "chunk_id", F.round(score, 6).alias("score")).where("score IS NOT NULL")
+        table = part.toArrow()
+        # equal vectors ask once
+        vectors = table.column("vector").to_pylist()
+        first: dict = {}
+        at = [first.setdefault(None if v is None else tuple(v), i) for i, v in enumerate(vectors)]
+        one = table.take(pa.array(sorted(first.values()), pa.int64()))
+        askers = [[] for _ in vectors]
+        for i, a in enumerate(at):
+            askers[a].append(i)
+        askers = [askers[a] for a in sorted(first.values())]
+        sent = spark.sparkContext.broadcast((one.column("vector").combine_chunks(), table.column("query_id").combine_chunks(), askers))
+
+        def search(batches):
+            vectors, ids, askers = sent.value
+            for rows, score, chunks in nearest.searcher(vectors, k)(batches, kind):
+                for a in range(0, len(rows), nearest.PAIRS):
+                    n = [len(askers[r]) for r in rows[a : a + nearest.PAIRS]]
+                    every = np.repeat(np.arange(a, a + len(n)), n)
+                    who = pa.array([i for r in rows[a : a + nearest.PAIRS] for i in askers[r]], pa.int64())
+                    columns = [ids.take(who), chunks.take(pa.array(every, pa.int64())), pa.array(score[every])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+
+        kind = to_arrow_type(found["chunk_id"].dataType)
+        return held.where("embedding IS NOT NULL").mapInArrow(search, found)
 
     parts = [scores(asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)) for r in range(rounds)]
     return top_k(reduce(DataFrame.unionByName, parts), k, "chunk_id")
