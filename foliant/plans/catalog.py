@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant import storage
 from foliant.functions import text as X
 from foliant.operators import books as B
 from foliant.operators import extraction as E
@@ -177,23 +178,24 @@ def text_preview(spark, sf):
     return _docs(spark, sf).select("doc_id", X.preview(F.regexp_replace("text", "[^a-zA-Z \n]", ""), 120).alias("preview"))
 
 
-def _values(spark, sf):
-    return _docs(spark, sf).select("doc_id", "source", F.posexplode(F.split("text", " ")).alias("pos", "value"))
+def _deduped(docs):
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "value"))
+    return E.dedupe_values(words.select("doc_id", "pos", F.regexp_replace("value", "[^a-zA-Z]", "").alias("value")), ["doc_id"])
 
 
 def entity_dedupe(spark, sf):
-    return E.dedupe_values(_values(spark, sf).select("doc_id", "pos", F.regexp_replace("value", "[^a-zA-Z]", "").alias("value")), ["doc_id"])
+    return _deduped(_docs(spark, sf))
 
 
 def graph_nodes(spark, sf):
-    v = entity_dedupe(spark, sf).withColumn("seq", F.struct("doc_id", "pos"))
-    return E.nodes(v, "KhaiNiemV2", props=("doc_id",))
+    # a document has each name once, so that its id alone is the order
+    return E.nodes(entity_dedupe(spark, sf), "KhaiNiemV2", seq="doc_id", props=("doc_id",))
 
 
 def graph_edges(spark, sf):
     d, v = _docs(spark, sf), entity_dedupe(spark, sf)
     doc = d.select("source", F.col("doc_id").cast("string").alias("doc"))
-    return E.edges(doc, "CO_PHAN_DOAN", "source", "doc").unionByName(E.edges(v.withColumn("doc", F.col("doc_id").cast("string")), "DINH_NGHIA", "doc", "value"))
+    return E.edges(doc, "CO_PHAN_DOAN", "source", "doc").unionByName(E.edges(v.withColumn("doc", F.col("doc_id").cast("string")), "DINH_NGHIA", "doc", "value", unique=True))
 
 
 def concept_degree(spark, sf):
@@ -233,8 +235,13 @@ def hybrid_retrieve(spark, sf):
 
 
 def graph_expand(spark, sf):
-    hits = vector_topk(spark, sf).join(_docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id")
-    concepts = entity_dedupe(spark, sf).groupBy(F.col("doc_id").alias("chunk_id")).agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("concepts"))
+    found = storage.stored(vector_topk(spark, sf), "hits")
+    wanted = storage.hinted(found.select(F.col("chunk_id").alias("doc_id")).distinct())
+    docs = _docs(spark, sf).join(wanted, "doc_id", "left_semi")
+    hits = found.join(docs.select(F.col("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id")
+    # concepts of the found chunks alone
+    named = _deduped(docs).groupBy(F.col("doc_id").alias("chunk_id"))
+    concepts = named.agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("concepts"))
     return hits.join(concepts, "chunk_id", "left").select("query_id", "chunk_id", "source", "score", "concepts")
 
 
