@@ -16,30 +16,46 @@ LEAST = 12
 
 
 def _finished(parts: Column) -> Column:
-    s = F.btrim(F.regexp_replace(parts, X.SPACE + "+", " "), F.lit(" ;,.\t"))
-    return F.when(F.length(s) >= LEAST, F.when(s.rlike(r"[.?!]$"), s).otherwise(F.concat(s, F.lit("."))))
+    trimmed = F.btrim(F.regexp_replace(parts, X.SPACE + "+", " "), F.lit(" ;,.\t"))
+    return X.let(trimmed, lambda s: F.when(F.length(s) >= LEAST, F.when(s.rlike(r"[.?!]$"), s).otherwise(F.concat(s, F.lit(".")))))
 
 
 def extract(text: Column) -> Column:
-    """Array of objectives, first spelling of each kept. Bullets open items, other lines continue them or open one by its verb."""
+    """Array of objectives, first spelling of each kept. Bullets open items, other lines continue them or open one by its verb.
+
+    Every line is looked at once; the list ends at the first line that closes it, and items are slices of what lies between.
+    """
     lines = F.filter(F.transform(F.split(text, r"\R"), X.clean_title), lambda x: x != "")
     start = lambda a: F.array_position(F.transform(a, lambda x: X.match_key(x).contains(OPENING)), True).cast("int")
-    seed = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("over"))
-
-    def step(a, line):
-        some = (F.size(a["done"]) > 0) | a["open"].isNotNull()
-        key = X.match_key(line)
-        stop = key.rlike(rf"^({CLOSING})") | key.rlike(r"^(i|ii|iii|iv|v|vi|vii|viii|ix|x)\s") | (some & (line.endswith("?") | X.is_heading(line)))
-        bullet, clean = line.rlike(BULLET), F.btrim(F.regexp_replace(line, BULLET, ""), F.lit(" ;,.\t"))
-        opens = X.match_key(clean).rlike(f"^({VERBS})") & (F.length(clean) > LEAST)
-        over = a["over"] | stop
-        skip = over | (clean == "")
-        done = F.when(~skip & bullet & a["open"].isNotNull(), F.array_compact(F.concat(a["done"], F.array(_finished(a["open"]))))).otherwise(a["done"])
-        held = F.when(skip, a["open"]).when(bullet, clean).when(a["open"].isNotNull(), F.concat_ws(" ", a["open"], clean)).when(opens, clean)
-        return F.struct(done.alias("done"), held.alias("open"), over.alias("over"))
-
-    found = F.aggregate(F.slice(lines, start(lines) + 1, F.size(lines) + 1), seed, step, lambda a: F.array_compact(F.concat(a["done"], F.array(_finished(a["open"])))))
-    return F.when(start(lines) > 0, unique(found)).otherwise(F.array().cast("array<string>"))
+
+    def look(line):
+        bullet = line.rlike(BULLET)
+        clean = F.btrim(F.when(bullet, F.regexp_replace(line, BULLET, "")).otherwise(line), F.lit(" ;,.\t"))
+        closes = X.let(X.match_key(line), lambda key: key.rlike(rf"^({CLOSING})") | key.rlike(r"^(i|ii|iii|iv|v|vi|vii|viii|ix|x)\s"))
+        opens = bullet | ((F.length(clean) > LEAST) & X.match_key(clean).rlike(f"^({VERBS})"))
+        return F.struct(clean.alias("clean"), bullet.alias("bullet"), opens.alias("opens"), closes.alias("closes"), (line.endswith("?") | X.is_heading(line)).alias("may_close"))
+
+    place = lambda rows, of: F.array_position(F.transform(rows, of), True).cast("int")  # noqa: E731  from 1, 0 for none
+    # no list has been opened by a line that closes one, nor behind it
+    first = lambda rows: X.let(place(rows, lambda r: r["closes"]), lambda c: X.let(place(rows, lambda r: (r["clean"] != "") & r["opens"]),
+        lambda o: F.when((c > 0) & (c <= o), F.lit(0)).otherwise(o)))
+
+    def opened(rows, o):
+        tail = F.slice(rows, o, F.size(rows) + 1)
+        end = place(tail, lambda r: r["closes"] | r["may_close"] & ~r["first"])
+        return X.let(end, lambda e: F.filter(F.when(e > 0, F.slice(tail, 1, e - 1)).otherwise(tail), lambda r: r["clean"] != ""))
+
+    def items(kept):
+        heads = F.filter(F.transform(kept, lambda r, i: F.when(r["bullet"] | (i == 0), i)), lambda i: i.isNotNull())
+        own = lambda h, k: F.slice(kept, F.get(h, k) + 1, F.coalesce(F.get(h, k + 1), F.size(kept)) - F.get(h, k))
+        joined = lambda h, k: _finished(F.array_join(F.transform(own(h, k), lambda r: r["clean"]), " "))
+        return X.let(heads, lambda h: F.array_compact(F.transform(h, lambda x, k: joined(h, k))))
+
+    none = F.array().cast("array<string>")
+    numbered = lambda rows, o: F.transform(rows, lambda r, i: r.withField("first", i == o - 1))
+    listed = lambda rows: X.let(first(rows), lambda o: F.when(o > 0, X.let(opened(numbered(rows, o), o), items)).otherwise(none))
+    behind = lambda all_, s: X.let(F.transform(F.slice(all_, s + 1, F.size(all_) + 1), look), listed)
+    return X.let(lines, lambda a: X.let(start(a), lambda s: F.when(s > 0, unique(behind(a, s))).otherwise(none)))
 
 
 def unique(values: Column) -> Column:
