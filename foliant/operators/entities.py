@@ -65,17 +65,19 @@ def normalised(raw: Column) -> Column:
     Responses of the asked-for shape, lists of strings, stay inside the JVM. Others, of any depth, go to Python in Arrow
     batches; for the former that column is null and costs nothing.
     """
-    v = F.try_parse_json(raw)
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
-    simple = reduce(lambda a, b: a & b, [F.coalesce(kind(k).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.lit(True)) for k in ENTITIES])
-    simple = simple & F.coalesce(kind(SUMMARY).isin("STRING", "VOID"), F.lit(True)) & F.schema_of_variant(v).startswith("OBJECT")
-    simple = F.coalesce(simple, F.lit(False))
-    read = F.from_json(raw, SCHEMA)
+    kind = lambda v, k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+
+    def asked_for(v):
+        lists = reduce(lambda a, b: a & b, [F.coalesce(kind(v, k).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.lit(True)) for k in ENTITIES])
+        return lists & F.coalesce(kind(v, SUMMARY).isin("STRING", "VOID"), F.lit(True)) & F.schema_of_variant(v).startswith("OBJECT")
+
+    # bound by let(), the text is parsed once a use and not once a key
+    simple = F.coalesce(X.let(F.try_parse_json(raw), asked_for), F.lit(False))
     none = F.array().cast("array<string>")
-    native = F.struct(*[F.coalesce(folded_unique(F.filter(read[k], lambda x: x.isNotNull())), none).alias(k) for k in ENTITIES],
-        F.coalesce(X.strip_space(read[SUMMARY]), F.lit("")).alias(SUMMARY))
-    odd = _gathered_batch(F.when(~simple, F.coalesce(F.when(v.isNotNull(), raw), F.lit("null"))))
-    return F.when(simple, native).otherwise(odd)
+    lists = lambda read: [F.coalesce(folded_unique(F.filter(read[k], lambda x: x.isNotNull())), none).alias(k) for k in ENTITIES]
+    native = lambda read: F.struct(*lists(read), F.coalesce(X.strip_space(read[SUMMARY]), F.lit("")).alias(SUMMARY))
+    odd = _gathered_batch(F.when(~simple, F.coalesce(F.when(F.try_parse_json(raw).isNotNull(), raw), F.lit("null"))))
+    return F.when(simple, X.let(F.from_json(raw, SCHEMA), native)).otherwise(odd)
 
 
 @F.pandas_udf(SCHEMA)
