@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from foliant.operators import nearest
+from foliant.storage import hinted, stored
 
 K1, B, RRF = 1.2, 0.75, 60
 #: So many queries' vectors travel to the items at once; more go in rounds.
@@ -127,22 +128,24 @@ def tokens(text: Column) -> Column:
 def keyword_search(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25, any term.
 
-    Items are reduced to the queries' terms, and one row for their length, before anything is shuffled; document
-    frequencies and totals come from that one shuffle. Which side is broadcast is left to Spark, as it knows the sizes.
+    Items are reduced to the queries' terms, and one row for their length, before anything is shuffled; the counts are
+    stored, and document frequencies and totals come from them. Terms are broadcast while they are few, and the counts of
+    an item meet in one task, so that of its scores only those among a task's best leave it.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = stored(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "terms")
     wanted = terms.select("term").distinct().withColumn("hit", F.lit(True))
     held = items.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("ts"))
     # the null term at the end of each item carries its length through
     each = held.select("chunk_id", F.size("ts").alias("len"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term"))
-    found = each.join(wanted, "term", "left").where(F.col("hit") | F.col("term").isNull())
-    tf = found.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = each.join(hinted(wanted), "term", "left").where(F.col("hit") | F.col("term").isNull())
+    tf = stored(found.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "term_counts")
     total = tf.where("term IS NULL").agg(F.sum("tf").cast("double").alias("n"), F.avg("len").alias("mean"))
     df = tf.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.join(total, F.lit(True)).select("term", idf.alias("idf"), "mean")
+    df = stored(df.join(F.broadcast(total), F.lit(True)).select("term", idf.alias("idf"), "mean"), "term_weights")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "term").join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    near = tf.where("term IS NOT NULL").repartition("chunk_id")
+    scored = near.join(hinted(df), "term").join(hinted(terms), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_k(scored, k, "chunk_id")
 
 
@@ -160,9 +163,12 @@ def fuse(vector: DataFrame, keyword: DataFrame, silent: bool = False) -> DataFra
     return out.select("query_id", "chunk_id", F.when(alone, F.col("score")).otherwise(F.round("raw", 6)).alias("score"), "rank")
 
 
-def hybrid(items: DataFrame, queries: DataFrame, k: int = 3, fetch: int = 10) -> DataFrame:
-    """The best k of fused vector and keyword results; a query without a keyword hit, a blank one among them, keeps its vector scores."""
-    v, t = vector_search(items.where("embedding IS NOT NULL"), queries, fetch), keyword_search(items, queries, fetch)
+def hybrid(items: DataFrame, queries: DataFrame, k: int = 3, fetch: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """The best k of fused vector and keyword results; a query without a keyword hit, a blank one among them, keeps its vector scores.
+
+    ``items`` has chunk_id, embedding and text, or else ``texts`` has chunk_id and text: no text need meet its vector.
+    """
+    v, t = vector_search(items.where("embedding IS NOT NULL"), queries, fetch), keyword_search(items if texts is None else texts, queries, fetch)
     return fuse(v, t, silent=True).where(F.col("rank") <= k)
 
 

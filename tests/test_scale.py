@@ -65,3 +65,68 @@ def test_rounding_is_that_of_spark(spark):
     x = [0.1234565, 0.0000005, -0.0000005, 2.5e-7, 0.9999995, -0.1234565, 0.3, float("nan"), -0.0, 0.12345649999999999, 1e300, *np.random.default_rng(1).normal(size=500)]
     got = [r.r for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6).alias("r")).collect()]
     assert list(map(repr, got)) == list(map(repr, nearest.rounded(np.array(x)).tolist()))
+
+
+def folded_objectives(text):
+    """extract() as one fold over the lines, each step of which copies what is done."""
+    from foliant.operators import objectives as O
+
+    lines = F.filter(F.transform(F.split(text, r"\R"), X.clean_title), lambda x: x != "")
+    start = F.array_position(F.transform(lines, lambda x: X.match_key(x).contains(O.OPENING)), True).cast("int")
+    seed = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("over"))
+
+    def step(a, line):
+        some = (F.size(a["done"]) > 0) | a["open"].isNotNull()
+        key = X.match_key(line)
+        stop = key.rlike(rf"^({O.CLOSING})") | key.rlike(r"^(i|ii|iii|iv|v|vi|vii|viii|ix|x)\s") | (some & (line.endswith("?") | X.is_heading(line)))
+        bullet, clean = line.rlike(O.BULLET), F.btrim(F.regexp_replace(line, O.BULLET, ""), F.lit(" ;,.\t"))
+        opens = X.match_key(clean).rlike(f"^({O.VERBS})") & (F.length(clean) > O.LEAST)
+        over = a["over"] | stop
+        skip = over | (clean == "")
+        done = F.when(~skip & bullet & a["open"].isNotNull(), F.array_compact(F.concat(a["done"], F.array(O._finished(a["open"]))))).otherwise(a["done"])
+        held = F.when(skip, a["open"]).when(bullet, clean).when(a["open"].isNotNull(), F.concat_ws(" ", a["open"], clean)).when(opens, clean)
+        return F.struct(done.alias("done"), held.alias("open"), over.alias("over"))
+
+    found = F.aggregate(F.slice(lines, start + 1, F.size(lines) + 1), seed, step, lambda a: F.array_compact(F.concat(a["done"], F.array(O._finished(a["open"])))))
+    return F.when(start > 0, O.unique(found)).otherwise(F.array().cast("array<string>"))
+
+
+def test_objectives_without_a_fold(spark):
+    import random
+
+    from foliant.operators import objectives as O
+
+    kinds = ["YÊU CẦU CẦN ĐẠT", "• Nêu được vai trò của nước", "- ngắn", "• ", "Trình bày được cấu tạo tế bào;", "tiếp theo của dòng trước", "Luyện tập", "II. Nội dung", "Vì sao?",
+        "CHƯƠNG MỚI BẮT ĐẦU", "", "   ", "• nêu được vai trò của nước.", "o Kể được tên", "Kể được", "* Bài 3 mở", ";,.", "• Mục tiêu", "i gì đó"]
+    rng = random.Random(11)
+    texts = [None, "", "YÊU CẦU CẦN ĐẠT", *("\n".join(rng.choices(kinds, k=rng.randint(1, 14))) for _ in range(600)), *("YÊU CẦU CẦN ĐẠT\n" + "\n".join(rng.choices(kinds[1:6] + kinds[9:], k=12)) for _ in range(600))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(O.extract(F.col("t")).alias("a"), folded_objectives(F.col("t")).alias("b"))
+    rows = df.collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and sum(len(r.a) > 1 for r in rows) > 100
+    # each line is looked at once, and nothing grows by copies
+    assert "aggregate(" not in plan(df.select("a")).replace("Aggregate(", "") or "aggregate(" not in str(O.extract(F.col("t")))
+
+
+def test_terms_are_broadcast_and_scores_made_where_the_counts_are(spark, sf_dir):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(C.bm25_topk(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # of the counts by chunk, and of a task's best by query
+    assert "SortMergeJoin" not in p and p.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in p
+
+
+def test_responses_are_parsed_once_a_use(spark):
+    from foliant.operators import entities as G
+
+    df = spark.createDataFrame([('{"khai_niem_dinh_nghia":["a"]}',)], "t string").select(G.normalised(F.col("t")).alias("n"))
+    whole = df._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.count("tryParseJson") + whole.count("try_parse_json") + whole.count("parseJson") < 12 and whole.count("from_json") <= 2
+
+
+def test_preview_class_has_ranges_alone(spark):
+    texts = ["aZ [b]\n@c`{|}~0/9 é\t\x00\U0001f600x", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", C._ODD, "").alias("a"), F.regexp_replace("t", "[^a-zA-Z \n]", "").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and "^" not in C._ODD
