@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Mapping
 
 from pyspark.errors.exceptions.base import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.storage import hinted, stored
 
 #: Schemas of the JSON files. Boxes are variants, as engines differ.
 LINE = "text string, score double, bbox variant, detector string, recognizer string, paddle_text string"
@@ -51,20 +52,50 @@ def _whole(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", f"^{BOM}", "").alias("text"))
 
 
+#: How a book's JSON is laid out in lines, so that no task need hold a whole book: what the first line ends with, what the last one is.
+PAGES, END = '"pages":[', "]}"
+
+
 def read_pages(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """Pages of books' JSON files: the columns of PAGE after those of BOOK. A broken file, and one whose pages are no list, has none."""
-    book = F.from_json("text", _typed(f"{BOOK}, pages array<{_typed(PAGE)}>"))
-    rows = _whole(spark, path, glob).select(book.alias("b"))
-    return rows.select("b.*").withColumn("p", F.explode("pages")).drop("pages").withColumnRenamed("ocr_engine", "book_engine").select("*", "p.*").drop("p")
+    """Pages of books' JSON files: the columns of PAGE after those of BOOK. A broken file, and one whose pages are no list, has none.
+
+    Files in write_books()'s lines, a page each, are read by as many tasks as they have blocks; those of another layout
+    are read whole. Which is which comes from a first look at all lines.
+    """
+    book = _typed(f"{BOOK}, pages array<{_typed(PAGE)}>")
+    files = spark.read.format("text").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", f"^{BOM}", "").alias("line"))
+    page = F.regexp_replace("line", r"^,(?=\{)", "")
+    head, end = F.col("line").startswith("{") & F.col("line").endswith(PAGES), F.col("line") == END
+    bare, other = ~head & F.col("line").startswith("{"), ~head & ~end & F.try_parse_json(page).isNull()
+    looks = lines.groupBy("path").agg(F.max(F.when(head, F.col("line"))).alias("head"), F.count_if(head).alias("heads"), F.count_if(end).alias("ends"),
+        F.count_if(bare).alias("bare"), F.count_if(other).alias("others"), F.count(F.lit(1)).alias("n"))
+    first = F.from_json(F.concat("head", F.lit(END)), book)
+    in_lines = (F.col("heads") == 1) & (F.col("ends") == 1) & (F.col("others") == 0) & (F.col("bare") == F.least(F.col("n") - 2, F.lit(1))) & first.isNotNull()
+    looks = stored(looks.select("path", first.alias("b"), F.coalesce(in_lines, F.lit(False)).alias("in_lines")), "files")
+    others = [r.path for r in looks.where("NOT in_lines").select("path").collect()]
+    rows = lines.where(~head & ~end).join(hinted(looks.where("in_lines").select("path", "b")), "path").select("b", F.from_json(page, _typed(PAGE)).alias("p"))
+    if others:
+        whole = _whole(spark, path, glob).where(F.col("path").isin(others)).select(F.from_json("text", book).alias("b"))
+        rows = rows.unionByName(whole.select("b", F.explode("b.pages").alias("p")))
+    return rows.select("b.*", "p").drop("pages").withColumnRenamed("ocr_engine", "book_engine").select("*", "p.*").drop("p")
 
 
 def book_json(pages: DataFrame, header: Mapping[str, Column]) -> DataFrame:
-    """book_id, value: each book's JSON, pages by number, a missing number as 0. ``pages`` has book_id and columns of PAGE; ``header`` further columns of BOOK."""
-    page = F.struct(F.coalesce("page_number", F.lit(0)).alias("__at"), F.struct(*[c for c in pages.columns if c != "book_id"]).alias("p"))
-    rows = pages.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct(page["__at"].alias("at"), F.to_json(page["p"]).alias("p")))).alias("rows"))
-    held = F.array_join(F.transform("rows", lambda r: r["p"]), ",")
-    head = F.to_json(F.struct("book_id", *[c.alias(n) for n, c in header.items()], F.size("rows").alias("completed_pages")))
-    return rows.select("book_id", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"pages":['), held, F.lit("]}")).alias("value"))
+    """book_id, part, at, value: each book's JSON as lines in the order of part, at and value: its header, its pages by number, a missing number as 0, and an end.
+
+    ``pages`` has book_id and columns of PAGE; ``header`` further columns of BOOK. A page is one line, whatever its text holds.
+    """
+    body = F.to_json(F.struct(*[c for c in pages.columns if c != "book_id"]))
+    rows = pages.select("book_id", F.lit(1).alias("part"), F.coalesce("page_number", F.lit(0)).alias("at"), body.alias("value"))
+    books = pages.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("completed_pages"))
+    head = F.to_json(F.struct("book_id", *[c.alias(n) for n, c in header.items()], "completed_pages"))
+    head = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(f",{PAGES}"))
+    ends = books.select("book_id", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).alias("at"), v.alias("value")) for p, v in ((0, head), (2, F.lit(END)))])))
+    # a page but the first has a comma before it
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("part", "at", "value"))
+    comma = F.when((F.col("part") == 1) & (F.col("place") > 2), F.lit(",")).otherwise(F.lit(""))
+    return rows.unionByName(ends).withColumn("place", place).select("book_id", "part", "at", F.concat(comma, "value").alias("value"), "place")
 
 
 def book_markdown(pages: DataFrame, header: Mapping[str, Column]) -> DataFrame:
@@ -79,8 +110,13 @@ def book_markdown(pages: DataFrame, header: Mapping[str, Column]) -> DataFrame:
 
 
 def write_books(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """book_id, value to one file a book, under book_id=...; the committer makes a run's files appear together or not at all."""
-    rows.repartition("book_id").write.mode(mode).option("lineSep", "\n").partitionBy("book_id").text(path)
+    """book_id, value to one file a book, under book_id=...; the committer makes a run's files appear together or not at all.
+
+    Rows with a column place are book_json()'s: its window has put each book's lines in order in one task, sorted outside
+    memory, and they are written one by one.
+    """
+    lines = rows if "place" in rows.columns else rows.repartition("book_id")
+    lines.select("book_id", "value").write.mode(mode).option("lineSep", "\n").partitionBy("book_id").text(path)
 
 
 def read_markdown(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
