@@ -14,6 +14,10 @@ _PLAIN = {c: d[0] for c, d in _MARKED.items() if len(d) > 1 and d[0].isascii() a
 #: What may not begin a heading (captions, without accents), and Roman numerals of sections.
 CAPTIONS, ROMAN = "hinh|bang|bieu do|so do", "i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii"
 SPACE = r"[\s\u0085  -     　]"
+#: The members of SPACE one by one, as trimming wants them.
+SPACES = "\t\n\x0b\f\r \x85\xa0" + "".join(map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: A heading's greatest length, and as many first characters of a line as mostly tell that it is longer.
+HEADING_CHARS, PROBE = 140, 200
 
 
 def strip_accents(s: Column) -> Column:
@@ -26,9 +30,19 @@ def match_key(s: Column) -> Column:
     return F.trim(F.regexp_replace(folded(s), "[^a-z0-9]+", " "))
 
 
+def unmarked(s: Column) -> Column:
+    """Without leading and closing marks of markdown, colons, hyphens."""
+    return F.btrim(s, F.lit(" #:-\t"))
+
+
+def collapsed(s: Column) -> Column:
+    """Every run of white space as a single space."""
+    return F.regexp_replace(s, SPACE + "+", " ")
+
+
 def clean_title(s: Column) -> Column:
     """Without leading and closing marks of markdown, colons, hyphens; white space collapsed."""
-    return F.trim(F.regexp_replace(F.btrim(s, F.lit(" #:-\t")), SPACE + "+", " "))
+    return F.trim(collapsed(unmarked(s)))
 
 
 def letters(s: Column, upper: bool = False) -> Column:
@@ -46,16 +60,26 @@ def folded(s: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """A section heading: numbered, or mostly upper case; never a question or a caption. Null is none."""
+    """A section heading: numbered, or mostly upper case; never a question or a caption. Null is none.
+
+    Most long lines are told by their first PROBE characters: the title is no shorter than these, collapsed, but for a space at either end.
+    """
 
-    def titled(t, low):
+    def titled(t, low, shouted):
         numbered = low.rlike(r"^(bai|chuong)\s*\d+\b") | low.rlike(rf"^({ROMAN})\.\s+") | (low.rlike(r"^\d+[.)]\s+") & (F.length(t) <= 90))
-        shouted = (letters(t) >= 5) & (letters(t, True) >= 0.65 * letters(t)) & F.size(F.split(t, " ")).between(2, 16)
         return ~low.rlike(rf"^({CAPTIONS})\s") & (numbered | shouted)
 
-    sized = lambda t: F.length(t).between(3, 140) & ~t.endswith("?")
-    found = let(clean_title(line), lambda t: F.when(sized(t), let(folded(t), lambda low: titled(t, low))))
-    return F.coalesce(found, F.lit(False))
+    def judged(t):
+        # 65 in 100 of five letters are four; running text ends here
+        upper = lambda: letters(t, True)
+        shouted = (upper() >= 4) & (letters(t) >= 5) & (upper() >= 0.65 * letters(t)) & F.size(F.split(t, " ")).between(2, 16)
+        # what a numbered heading may begin with, unless it has to be folded first
+        return let(shouted, lambda loud: F.when(loud | t.rlike(r"^([bcivxBCIVX0-9]|[^\x00-\x7f])"), let(folded(t), lambda low: titled(t, low, loud))))
+
+    sized = lambda t: F.length(t).between(3, HEADING_CHARS) & ~t.endswith("?")
+    found = lambda own: let(F.trim(collapsed(own)), lambda t: F.when(sized(t), judged(t)))
+    long = lambda own: (F.length(own) > HEADING_CHARS) & (F.length(collapsed(F.left(own, F.lit(PROBE)))) > HEADING_CHARS + 2)
+    return F.coalesce(let(unmarked(line), lambda own: F.when(~long(own), found(own))), F.lit(False))
 
 
 def grade_of(book_id: Column) -> Column:
@@ -121,4 +145,5 @@ def strip_comments(s: Column) -> Column:
 
 
 def strip_space(s: Column) -> Column:
-    return F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at its ends; what lies between isn't searched for any, as a pattern would."""
+    return F.btrim(s, F.lit(SPACES))

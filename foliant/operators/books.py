@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ OUTSIDE, OUTSIDE_TITLE = "Ngoai_TOC", "Phần ngoài mục lục"
 FIRST_SECTION, NO_SECTION = "Phần Mở Đầu", "Nội dung"
 #: Characters of a chunk, and pages at a lesson's start that are searched for objectives.
 CHUNK_CHARS, SCAN_PAGES = 3500, 2
-#: Line ends of Unicode text. RUN: numbers of an order that one task sums.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Line ends of Unicode text besides the plain one. RUN: numbers of an order that one task sums.
+ODD_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 RUN = 65_536
 
 
@@ -132,9 +135,12 @@ def rejoined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 def page_parts(text: Column) -> Column:
     """A page's parts as (k, section, lines): part 0 lies before the first heading, every other one begins with a heading.
 
-    Lines are stripped and blank ones go; a blank one follows the page. Parts without any line are left out.
+    Lines are stripped and blank ones go, so that it's no matter where a pair of line ends is cut; a blank one follows the
+    page. Parts without any line are left out.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), X.strip_space), lambda x: x != "")
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in ODD_ENDS])  # searched as bytes
+    cut = F.split(F.when(odd, F.regexp_replace(text, f"[{ODD_ENDS}]", "\n")).otherwise(F.coalesce(text, F.lit(""))), "\n")
+    lines = F.filter(F.transform(cut, X.strip_space), lambda x: x != "")
 
     def parts(marked):
         n, heads = F.size(marked), F.filter(F.transform(marked, lambda x, i: F.when(x["heading"], i)), lambda i: i.isNotNull())
@@ -163,14 +169,15 @@ def lesson_blocks(pages: DataFrame, keys: list[str], order: str, title: str) ->
     counted = parted.select(*keys, order, F.array_max(F.transform("parts", lambda p: p["k"])).alias("__headings"))
     firsts = stored(before(counted, keys, [order], "__headings", "__first"), "headings_before")
     rows = rejoined(parted, firsts, [*keys, order]).select(*keys, order, title, "page_number", "__first", F.explode("parts").alias("p"))
-    shown = F.exists("p.lines", lambda x: x != "")
+    shown = F.exists("p.lines", lambda x: x != "").alias("shown")
     piece = F.struct(order, "p.section", F.array_join("p.lines", "\n").alias("text"))
-    rows = rows.select(*keys, title, (F.col("__first") + F.col("p.k")).alias("block"), piece.alias("piece"), F.when(shown, F.col("page_number")).alias("page"))
+    rows = rows.select(*keys, title, (F.col("__first") + F.col("p.k")).alias("block"), piece.alias("piece"), shown, F.when(shown, F.col("page_number")).alias("page"))
     blocks = rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.first(title).alias(title),
-        F.array_sort(F.collect_set("page")).alias("pages"))
+        F.array_sort(F.collect_set("page")).alias("pages"), F.max("shown").alias("shown"))
     head, text = F.get("pieces", F.lit(0)), X.strip_space(F.array_join(F.transform("pieces", lambda p: p["text"]), "\n"))
-    blocks = blocks.select(*keys, title, "block", F.coalesce(head["section"], F.col(title)).alias("section"), text.alias("text"), "pages", head[order].alias("first"))
-    return stored(blocks.where("text <> ''"), "blocks")
+    # by a flag: a filter on the text would make it a second time
+    blocks = blocks.where("shown").select(*keys, title, "block", F.coalesce(head["section"], F.col(title)).alias("section"), text.alias("text"), "pages", head[order].alias("first"))
+    return stored(blocks, "blocks")
 
 
 def chunks(blocks: DataFrame, book: str, lesson: str, title: str, limit: int = CHUNK_CHARS) -> DataFrame:

@@ -1,10 +1,14 @@
 """Steps whose cost grew faster than their input: what they do now, and that they give the same rows."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.operators import books as B
 from foliant.operators import extraction as E
 from foliant.operators import nearest
 from foliant.operators import retrieval as R
@@ -130,3 +134,50 @@ def test_preview_class_has_ranges_alone(spark):
     texts = ["aZ [b]\n@c`{|}~0/9 é\t\x00\U0001f600x", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", C._ODD, "").alias("a"), F.regexp_replace("t", "[^a-zA-Z \n]", "").alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and "^" not in C._ODD
+
+
+WORDS = ["BÀI", "bài", "Bài 3", "Chương", "chuong 10", "CHUONG2", "3.", "12)", "I.", "xii.", "Hình", "BẢNG", "SƠ ĐỒ", "ĐỘT BIẾN", "Gen", "GEN", "of", "and the", "x" * 45, "Y" * 30,
+    "\u212a", "\u0130", "\u0301", "a\u0301", "\U0001f600", "ß", "é", "É", "ǅ", "?", "#", ":", "-", "7"]
+GAPS = [" ", " ", " ", "  ", "\t", "\xa0", " \u2003\u3000", "", "\x1f"]
+
+
+def odd_lines(seed, n, ends=()):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(WORDS) + rng.choice([*GAPS, *ends]) for _ in range(rng.choice([1, 2, 3, 5, 9, 30]))) for _ in range(n)]
+
+
+def searched_heading(line):
+    """is_heading() with every line collapsed and folded whole."""
+    t = F.trim(F.regexp_replace(F.btrim(line, F.lit(" #:-\t")), X.SPACE + "+", " "))
+    low = X.folded(t)
+    numbered = low.rlike(r"^(bai|chuong)\s*\d+\b") | low.rlike(rf"^({X.ROMAN})\.\s+") | (low.rlike(r"^\d+[.)]\s+") & (F.length(t) <= 90))
+    shouted = (X.letters(t) >= 5) & (X.letters(t, True) >= 0.65 * X.letters(t)) & F.size(F.split(t, " ")).between(2, 16)
+    return F.coalesce(F.length(t).between(3, 140) & ~t.endswith("?") & ~low.rlike(rf"^({X.CAPTIONS})\s") & (numbered | shouted), F.lit(False))
+
+
+def test_headings_are_told_without_searching_every_line(spark):
+    edges = [f"{a}{'A' * n}{gap}B{b}" for n in range(130, 146) for gap in ("", " ", "  ", "\xa0" * 90) for a in ("", "\xa0", "# ", "1. ") for b in ("", "\u2003", " :")]
+    lines = [None, "", *edges, *odd_lines(5, 6000)]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    rows = df.select(X.is_heading(F.col("t")).alias("a"), searched_heading(F.col("t")).alias("b"), X.strip_space(F.col("t")).alias("c"),
+        F.regexp_replace("t", f"^{X.SPACE}+|{X.SPACE}+$", "").alias("d")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and 500 < sum(r.a for r in rows) < len(rows) - 500
+    assert [r.c for r in rows] == [r.d for r in rows] and all(re.match(X.SPACE, c) for c in X.SPACES)
+    # a pattern tries every white space in a text, and every place of a run of it once more
+    assert "regexp" not in plan(df.select(X.strip_space(F.col("t"))))
+
+
+def test_parts_of_pages_with_odd_line_ends(spark):
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = [*odd_lines(9, 400, ends), *(f"a{e}b" for e in ends), "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(B.page_parts(F.col("t")).alias("p")).collect()
+    want = [[x for x in (y.strip(X.SPACES) for y in re.split("[" + "".join(ends[2:]) + "\n]", t or "")) if x] + [""] for t in texts]
+    assert [[x for p in r.p for x in p.lines] for r in rows] == want
+
+
+def test_blocks_are_made_once(spark, sf_dir, monkeypatch):
+    made = {}
+    monkeypatch.setattr(B, "stored", lambda df, name: made.setdefault(name, df))
+    C.section_blocks(spark, sf_dir)
+    p = made["blocks"]._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("array_join(transform(pieces") == 1
