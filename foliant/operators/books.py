@@ -93,16 +93,13 @@ def lessons_of_pages(pages: DataFrame, toc: DataFrame, keep_outside: bool = True
 
 
 def pack_lines(text: Column, limit: int) -> Column:
-    """Pieces of at most ``limit`` characters made of whole lines; a longer line stays whole."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    """Pieces of at most ``limit`` characters made of whole lines; a longer line stays whole.
 
-    def step(a, line):
-        joined = F.concat_ws("\n", a["open"], line)
-        fits = a["open"].isNull() | (F.length(joined) + 1 <= limit)
-        return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, joined).otherwise(line).alias("open"))
-
-    packed = F.aggregate(F.split(text, "\n"), empty, step, lambda a: F.concat(a["done"], F.array(a["open"])))
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
+    A piece is the longest run of characters below ``limit`` that ends where a line does, else a line: each is matched where
+    the last one ended, so that nothing is copied as pieces grow. A line end before each keeps matches from being empty.
+    """
+    piece = rf"(?s)\G\n(.{{0,{max(limit - 1, 0)}}}|[^\n]*)(?=\n|\z)"
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(piece), F.lit(1)))
 
 
 def before(units: DataFrame, keys: list[str], order: list[str], count: str, name: str) -> DataFrame:

@@ -167,6 +167,24 @@ def test_headings_are_told_without_searching_every_line(spark):
     assert "regexp" not in plan(df.select(X.strip_space(F.col("t"))))
 
 
+def folded_pieces(text, limit):
+    """pack_lines() line by line, with a copy of the pieces for each one."""
+    lines, done, held = text.split("\n"), [], None
+    for line in lines if len(text) > limit else []:
+        if held is not None and len(held) + len(line) + 2 > limit:
+            done, held = [*done, held], None
+        held = line if held is None else f"{held}\n{line}"
+    return [*done, held] if len(text) > limit else [text]
+
+
+@pytest.mark.parametrize("limit", [1, 2, 60, 500])
+def test_pieces_are_matched_and_not_copied(spark, limit):
+    texts = ["", "\n", "\n\n\n", "a\n" * 200, "x" * (limit - 1) + "\n", "x" * limit + "\n\n", "x" * 999, "\n" + "x" * 999, "\n\n" + "x" * (limit - 1) + "\n" + "x" * 999, ("\U0001f600a" * limit + "\n") * 3, *odd_lines(7, 400, ["\n", "\n\n", "\r\n"])]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(B.pack_lines(F.col("t"), limit).alias("a"))
+    assert [r.a for r in df.collect()] == [*[folded_pieces(t, limit) for t in texts], None]
+    assert "aggregate(" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_parts_of_pages_with_odd_line_ends(spark):
     ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
     texts = [*odd_lines(9, 400, ends), *(f"a{e}b" for e in ends), "", None]
