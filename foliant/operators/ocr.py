@@ -28,16 +28,16 @@ def field(v: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
-def first_present(v: Column, names: tuple[str, ...]) -> Column:
-    """The first of the fields that is there and not null; else null."""
-    return F.coalesce(*[F.when(kind_of(field(v, n)) != "VOID", field(v, n)) for n in names])
+def is_object(v: Column) -> Column:
+    """Whether a variant is an object: only that is read as a struct, whatever fields it has. Asking for its schema would read all of it."""
+    return F.try_variant_get(v, "$", "struct<none:variant>").isNotNull()
 
 
-def as_list(v: Column) -> Column:
-    """A variant's elements; null gives none, a single value one."""
-    none = F.array().cast("array<variant>")
-    many = v.try_cast("array<variant>")
-    return F.when(v.isNull() | (kind_of(v) == "VOID"), none).otherwise(F.coalesce(many, F.array(v)))
+def first_list(v: Column, names: tuple[str, ...]) -> Column:
+    """The elements of the first of the fields that is there and not null: a single value is a list of one. None give an empty list."""
+    single = lambda f: F.when(f.isNotNull() & ~F.is_variant_null(f), F.array(f))
+    found = [c for n in names for c in (field(v, n, "array<variant>"), single(field(v, n)))]
+    return F.coalesce(*found, F.array().cast("array<variant>"))
 
 
 def safe_score(v: Column) -> Column:
@@ -47,19 +47,25 @@ def safe_score(v: Column) -> Column:
 
 def rect_of(box: Column) -> Column:
     """(left, top, right, bottom) of a box: an object of x1, y1, x2, y2; a list of four numbers, as they are; or a list of points. Else null."""
-    numbers = [field(box, n, "double") for n in ("x1", "y1", "x2", "y2")]
-    flat = F.filter(box.try_cast("array<double>"), lambda x: x.isNotNull())
-    points = F.filter(F.transform(box.try_cast("array<array<double>>"), lambda p: F.when(F.size(p) >= 2, p)), lambda p: p.isNotNull())
-    side = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
+    sides = ("x1", "y1", "x2", "y2")
+    named = F.try_variant_get(box, "$", f"struct<{','.join(f'{n}:double' for n in sides)}>")
     rect = lambda a, b, c, d: F.struct(a.alias("left"), b.alias("top"), c.alias("right"), d.alias("bottom"))
-    of_points = rect(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1)))
-    known = numbers[0].isNotNull() & numbers[1].isNotNull() & numbers[2].isNotNull() & numbers[3].isNotNull()
-    as_points = F.when((F.size(points) > 0) & F.forall(points, lambda p: F.forall(p, lambda x: x.isNotNull())), of_points)
-    return (
-        F.when(kind_of(box) == "OBJECT", F.when(known, rect(*numbers)))
-        .when((F.size(flat) == 4) & (F.size(box.try_cast("array<variant>")) == 4), rect(*[F.get(flat, F.lit(k)) for k in range(4)]))
-        .otherwise(as_points)
-    )
+
+    def of_points(points):
+        side = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
+        whole = (F.size(points) > 0) & F.forall(points, lambda p: F.forall(p, lambda x: x.isNotNull()))
+        return F.when(whole, rect(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))))
+
+    def of_list(flat):
+        points = F.filter(F.transform(box.try_cast("array<array<double>>"), lambda p: F.when(F.size(p) >= 2, p)), lambda p: p.isNotNull())
+        four = (F.size(flat) == 4) & F.forall(flat, lambda x: x.isNotNull())
+        return F.when(four, rect(*[F.get(flat, F.lit(k)) for k in range(4)])).otherwise(X.let(points, of_points))
+
+    def of_any(o):
+        known = o["x1"].isNotNull() & o["y1"].isNotNull() & o["x2"].isNotNull() & o["y2"].isNotNull()
+        return F.when(o.isNull(), X.let(box.try_cast("array<double>"), of_list)).when(known, rect(*[o[n] for n in sides]))
+
+    return X.let(named, of_any)
 
 
 def lines_of_lists(pages: DataFrame, keys: list[str], result: str) -> DataFrame:
@@ -67,13 +73,14 @@ def lines_of_lists(pages: DataFrame, keys: list[str], result: str) -> DataFrame:
 
     Texts are stripped, and empty ones go; what a shorter list lacks is null.
     """
-    whole = F.col(result)
-    res = F.when(kind_of(field(whole, "res")) == "OBJECT", field(whole, "res")).otherwise(whole)
-    rows = pages.select(*keys, as_list(first_present(res, SCORES)).alias("__s"), as_list(first_present(res, BOXES)).alias("__b"),
-        F.posexplode(as_list(first_present(res, TEXTS))).alias("ord", "__t"))
-    rows = rows.select(*keys, "ord", X.strip_space(F.col("__t").try_cast("string")).alias("text"),
-        safe_score(F.get("__s", F.col("ord"))).alias("score"), F.get("__b", F.col("ord")).alias("bbox"))
-    return _lined(rows, keys)
+    rows = pages.select(*keys, F.col(result).alias("__w"), field(F.col(result), "res").alias("__r"))
+    rows = rows.select(*keys, F.when(is_object(F.col("__r")), F.col("__r")).otherwise(F.col("__w")).alias("__r"))
+    lists = [first_list(F.col("__r"), names) for names in (TEXTS, SCORES, BOXES)]
+    texts = F.transform(lists[0], lambda t: X.strip_space(t.try_cast("string")))
+    rows = rows.select(*keys, texts.alias("__t"), lists[1].alias("__s"), lists[2].alias("__b"))
+    # outer, as Spark puts a filter on what an inner one opens below all of it, and so makes it and the results twice
+    rows = rows.select(*keys, "__s", "__b", F.posexplode_outer("__t").alias("ord", "text")).where(F.col("text") != "")
+    return _lined(rows.select(*keys, "ord", "text", safe_score(F.get("__s", F.col("ord"))).alias("score"), F.get("__b", F.col("ord")).alias("bbox")))
 
 
 def lines_of_rows(pages: DataFrame, keys: list[str], result: str) -> DataFrame:
@@ -85,16 +92,15 @@ def lines_of_rows(pages: DataFrame, keys: list[str], result: str) -> DataFrame:
             F.array(v)).otherwise(F.coalesce(v.try_cast("array<variant>"), F.array().cast("array<variant>"))))
         found = F.flatten(opened)
     kept = F.filter(found, lambda v: F.coalesce(is_row(v), F.lit(False)))
-    rows = pages.select(*keys, F.posexplode(kept).alias("ord", "__r"))
-    part = lambda path, kind: F.try_variant_get(F.col("__r"), path, kind)
-    rows = rows.select(*keys, "ord", X.strip_space(part("$[1][0]", "string")).alias("text"), safe_score(part("$[1][1]", "variant")).alias("score"),
-        part("$[0]", "variant").alias("bbox"))
-    return _lined(rows, keys)
+    text = lambda v: X.strip_space(F.try_variant_get(v, "$[1][0]", "string")).alias("text")
+    rows = pages.select(*keys, F.posexplode_outer(F.transform(kept, lambda v: F.struct(text(v), v.alias("row")))).alias("ord", "__r"))
+    part = lambda path: F.try_variant_get("__r.row", path, "variant")
+    rows = rows.where(F.col("__r.text") != "").select(*keys, "ord", "__r.text", safe_score(part("$[1][1]")).alias("score"), part("$[0]").alias("bbox"))
+    return _lined(rows)
 
 
-def _lined(rows: DataFrame, keys: list[str]) -> DataFrame:
-    rows = rows.where(F.col("text") != "").withColumn("rect", rect_of(F.col("bbox")))
-    return rows.withColumn("detector", F.lit(DETECTOR))
+def _lined(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rect", rect_of(F.col("bbox"))).withColumn("detector", F.lit(DETECTOR))
 
 
 def placed(lines: DataFrame) -> DataFrame:

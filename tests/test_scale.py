@@ -199,3 +199,44 @@ def test_blocks_are_made_once(spark, sf_dir, monkeypatch):
     C.section_blocks(spark, sf_dir)
     p = made["blocks"]._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("array_join(transform(pieces") == 1
+
+
+def test_results_are_read_once_and_boxes_without_schemas(spark, sf_dir):
+    from foliant.plans import services as V
+
+    for query in (V.ocr_lists, V.page_images, V.ocr_rows):
+        p = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        # 88 times the schema of results and boxes before; rows of results ask for that of their texts
+        assert p.count("parseJson") == 1 and (query is V.ocr_rows or "schemaOfVariant" not in p)
+
+
+def schema_rect(box):
+    """rect_of() by the schema of every box."""
+    field = lambda n: F.try_variant_get(box, f"$.{n}", "double")
+    x1, y1, x2, y2 = map(field, ("x1", "y1", "x2", "y2"))
+    flat = F.filter(box.try_cast("array<double>"), lambda x: x.isNotNull())
+    points = F.filter(F.transform(box.try_cast("array<array<double>>"), lambda p: F.when(F.size(p) >= 2, p)), lambda p: p.isNotNull())
+    side = lambda k: F.transform(points, lambda p: F.get(p, F.lit(k)))
+    rect = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("left", "top", "right", "bottom"), strict=True)])
+    known = x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull()
+    of_points = F.when((F.size(points) > 0) & F.forall(points, lambda p: F.forall(p, lambda x: x.isNotNull())),
+        rect(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))))
+    of_list = F.when((F.size(flat) == 4) & (F.size(box.try_cast("array<variant>")) == 4), rect(*[F.get(flat, F.lit(k)) for k in range(4)])).otherwise(of_points)
+    return F.when(F.schema_of_variant(box).startswith("OBJECT"), F.when(known, rect(x1, y1, x2, y2))).otherwise(of_list)
+
+
+def test_boxes_and_lists_of_any_kind(spark):
+    from foliant.operators import ocr
+
+    parts = ["1", "2.5", "-3", '"4"', '"x"', "null", "true", "[1,2]", "[3,4]", "[5]", "[null,1]", "{}", "[]", "1e300", '{"x1":1}']
+    rng = random.Random(3)
+    boxes = [f"[{','.join(rng.choices(parts, k=rng.choice([1, 2, 3, 4, 4, 4, 5])))}]" for _ in range(1500)] + [f"[{','.join(rng.choices(parts[:3], k=4))}]" for _ in range(100)]
+    boxes += ["{" + ",".join(f'"{n}":{rng.choice(parts[:9])}' for n in rng.sample(["x1", "y1", "x2", "y2", "z"], rng.choice([2, 4, 5]))) + "}" for _ in range(600)] + [*parts, None]
+    df = spark.createDataFrame([(b,) for b in boxes], "b string").select("b", F.parse_json("b").alias("v"))
+    rows = df.select("b", ocr.rect_of(F.col("v")).alias("x"), schema_rect(F.col("v")).alias("y")).collect()
+    assert [(r.b, r.x) for r in rows] == [(r.b, r.y) for r in rows] and 100 < sum(r.x is not None for r in rows) < len(rows) - 100
+    lists = ['{"rec_texts":null,"texts":["a"],"rec_scores":[1,2,3]}', '{"res":[],"texts":"b"}', '{"res":null,"texts":{"c":1}}', '{"res":{},"texts":["d"]}', '{"rec_texts":[],"texts":["e"]}',
+        '{"texts":[1,true,"f",["g"]],"dt_polys":[[1,2,3,4]]}', '["h"]', '"i"', "null", None]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, r string").select("k", F.try_parse_json("r").alias("r"))
+    got = [(r.k, r.ord, r.text, r.score) for r in ocr.lines_of_lists(df, ["k"], "r").orderBy("k", "ord").collect()]
+    assert got == [(0, 0, "a", 1.0), (1, 0, "b", None), (2, 0, '{"c":1}', None), (5, 0, "1", None), (5, 1, "true", None), (5, 2, "f", None), (5, 3, '["g"]', None)]
