@@ -13,11 +13,12 @@ _MARKED = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0
 _PLAIN = {c: d[0] for c, d in _MARKED.items() if len(d) > 1 and d[0].isascii() and all(unicodedata.category(x) == "Mn" for x in d[1:])} | {"Đ": "D", "đ": "d"}
 #: What may not begin a heading (captions, without accents), and Roman numerals of sections.
 CAPTIONS, ROMAN = "hinh|bang|bieu do|so do", "i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii"
-SPACE = r"[\s\u0085  -     　]"
+#: Cut to a range first, as any other character would be tried with each member of the class
+SPACE = r"[\x00- \x7f-\u3000&&[\s\u0085  -     　]]"
 #: The members of SPACE one by one, as trimming wants them.
 SPACES = "\t\n\x0b\f\r \x85\xa0" + "".join(map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: A heading's greatest length, and as many first characters of a line as mostly tell that it is longer.
-HEADING_CHARS, PROBE = 140, 200
+#: A heading's greatest length.
+HEADING_CHARS = 140
 
 
 def strip_accents(s: Column) -> Column:
@@ -62,7 +63,8 @@ def folded(s: Column) -> Column:
 def is_heading(line: Column) -> Column:
     """A section heading: numbered, or mostly upper case; never a question or a caption. Null is none.
 
-    Most long lines are told by their first PROBE characters: the title is no shorter than these, collapsed, but for a space at either end.
+    A long line is told by its first characters: without a run of white space there, the title is no shorter than these but for a
+    space at either end.
     """
 
     def titled(t, low, shouted):
@@ -78,7 +80,8 @@ def is_heading(line: Column) -> Column:
 
     sized = lambda t: F.length(t).between(3, HEADING_CHARS) & ~t.endswith("?")
     found = lambda own: let(F.trim(collapsed(own)), lambda t: F.when(sized(t), judged(t)))
-    long = lambda own: (F.length(own) > HEADING_CHARS) & (F.length(collapsed(F.left(own, F.lit(PROBE)))) > HEADING_CHARS + 2)
+    most = HEADING_CHARS + 3
+    long = lambda own: (F.length(own) >= most) & ~F.left(own, F.lit(most)).rlike(SPACE + "{2}")
     return F.coalesce(let(unmarked(line), lambda own: F.when(~long(own), found(own))), F.lit(False))
 
 

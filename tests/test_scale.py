@@ -162,7 +162,11 @@ def test_headings_are_told_without_searching_every_line(spark):
     rows = df.select(X.is_heading(F.col("t")).alias("a"), searched_heading(F.col("t")).alias("b"), X.strip_space(F.col("t")).alias("c"),
         F.regexp_replace("t", f"^{X.SPACE}+|{X.SPACE}+$", "").alias("d")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and 500 < sum(r.a for r in rows) < len(rows) - 500
-    assert [r.c for r in rows] == [r.d for r in rows] and all(re.match(X.SPACE, c) for c in X.SPACES)
+    assert [r.c for r in rows] == [r.d for r in rows]
+    every = spark.createDataFrame([(chr(c),) for c in range(0x10000) if not 0xD800 <= c < 0xE000], "t string")
+    white = r"[\s\u0085\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    for pattern in (X.SPACE, white):
+        assert sorted(r.t for r in every.where(F.col("t").rlike(pattern)).collect()) == sorted(X.SPACES)
     # a pattern tries every white space in a text, and every place of a run of it once more
     assert "regexp" not in plan(df.select(X.strip_space(F.col("t"))))
 
