@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.storage import hinted, stored
+from foliant.storage import hinted, release, stored
 
 #: Page markers, the lesson of pages outside the table of contents, the lesson before the first heading.
 MARKER = r"(?i)<!--\s*OCR_PAGE:\s*(\d+)\s*-->"
@@ -160,7 +160,7 @@ def lesson_blocks(pages: DataFrame, keys: list[str], order: str, title: str) ->
     A heading begins a block and is its first line; what lies before the first has the lesson's title. ``pages`` has
     order (a whole number, one page each), page_number and text; pages of a block are those that give it a line that isn't
     blank, and first is the order of its first page. Blocks of white space alone go. The texts are shuffled once, as
-    parts of pages; a block is one row, however many pages it crosses.
+    parts of pages, which are removed once the blocks are stored; a block is one row, however many pages it crosses.
     """
     parted = stored(pages.select(*keys, order, title, "page_number", page_parts(F.col("text")).alias("parts")), "page_parts")
     counted = parted.select(*keys, order, F.array_max(F.transform("parts", lambda p: p["k"])).alias("__headings"))
@@ -174,7 +174,9 @@ def lesson_blocks(pages: DataFrame, keys: list[str], order: str, title: str) ->
     head, text = F.get("pieces", F.lit(0)), X.strip_space(F.array_join(F.transform("pieces", lambda p: p["text"]), "\n"))
     # by a flag: a filter on the text would make it a second time
     blocks = blocks.where("shown").select(*keys, title, "block", F.coalesce(head["section"], F.col(title)).alias("section"), text.alias("text"), "pages", head[order].alias("first"))
-    return stored(blocks, "blocks")
+    out = stored(blocks, "blocks")
+    release(parted, firsts)
+    return out
 
 
 def chunks(blocks: DataFrame, book: str, lesson: str, title: str, limit: int = CHUNK_CHARS) -> DataFrame:

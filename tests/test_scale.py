@@ -198,9 +198,12 @@ def test_parts_of_pages_with_odd_line_ends(spark):
 
 
 def test_blocks_are_made_once(spark, sf_dir, monkeypatch):
-    made = {}
+    made, gone = {}, []
     monkeypatch.setattr(B, "stored", lambda df, name: made.setdefault(name, df))
+    monkeypatch.setattr(B, "release", lambda *tables: gone.extend(tables))
     C.section_blocks(spark, sf_dir)
+    # the texts don't lie there twice
+    assert gone == [made["page_parts"], made["headings_before"]]
     p = made["blocks"]._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("array_join(transform(pieces") == 1
 
